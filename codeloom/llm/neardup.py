@@ -3,20 +3,21 @@
 A document's set holds its distinct five-word shingles (ASCII lower case); two
 documents are linked where 100 * intersection >= 85 * union.  Texts with one set
 form a class, joined through one row each.  Every class has 128 minwise tokens.
-Each of `TREES` independent trees branches the classes by selected minwise tokens:
-the path so far selects the next one.  A node of at most `LEAF` classes is a leaf;
-larger ones branch on.  Nodes still larger at `DEPTH` (sets that agree almost
-everywhere) are cut into blocks of leaf size that share two leaders.
+Each independent tree branches the classes by selected minwise tokens, two at a
+time: the path so far selects the next ones.  A node of at most `LEAF` classes is
+a leaf; larger ones branch on.  Nodes still larger at `DEPTH` (sets that agree
+almost everywhere) are cut into blocks of leaf size that share two leaders.
 
 A leaf is compared exhaustively, first by the share of equal minwise tokens, then,
-for pairs that reach `FLOOR` there and are not connected yet, on the full sets
-("links are confirmed on full sets").  It yields a spanning star for each group
-found, so output grows with the classes, never with the pairs.  A pair of
-similarity s meets in a tree with probability of at least s**depth; with s = 0.85
-ten trees miss a pair in small nodes with probability 0.15**10, and in groups of
-thousands, where leaves lie three or four levels deep, with about 1e-3 or less;
-components survive that as each document has many links there.  Components of the
-links come from repeated contraction, all in DataFrames.
+for pairs that reach `FLOOR` there and are not connected yet, on the full sets.
+It yields a spanning star for each group found, so output grows with the classes,
+never with the pairs.  The first trees connect most; the others only look at pairs
+across the components so far, which spares moving most sets again.
+
+A pair of similarity s meets in a tree with probability s**2 at the first level,
+s**4 at the second.  With s = 0.85, fourteen trees miss it with probability 2e-8
+and 3e-5; components survive more, as a document of a large group has many links.
+Components come from repeated contraction, all in DataFrames.
 
 Texts without words: an empty set, linked with nothing.  Null ids: no component,
 kept.  Rows that repeat an id and a text get equal results.
@@ -35,7 +36,8 @@ from pyspark.sql import functions as F
 from codeloom.llm.common import chunks, written
 
 SHINGLE_WORDS, PERCENT = 5, 85
-COORDS, TREES, DEPTH, LEAF, FLOOR = 128, 10, 8, 256, 0.72
+COORDS, DEPTH, WIDTH, LEAF, FLOOR = 128, 4, 2, 256, 0.72
+FIRST_TREES, MORE_TREES = tuple(range(4)), tuple(range(4, 14))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -111,19 +113,20 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 
 def paths(sigs: np.ndarray, tree: int, depth: int = DEPTH) -> np.ndarray:
-    """Path names (rows x depth) in a tree: the name so far selects the minwise token that branches next."""
+    """Path names (rows x depth) in a tree: the name so far selects the minwise tokens that branch next."""
     at = np.arange(len(sigs))
     path = np.full(len(sigs), mix(np.array([7919 + tree], np.uint64))[0], np.uint64)
     out = np.empty((len(sigs), depth), np.uint64)
     with np.errstate(over="ignore"):
         for d in range(depth):
-            pick = (path % np.uint64(COORDS)).astype(np.int64)
-            path = mix(path ^ mix(sigs[at, pick].astype(np.uint64) + pick.astype(np.uint64) * np.uint64(1 << 40) + np.uint64(d + 1)))
+            for _ in range(WIDTH):
+                pick = (path % np.uint64(COORDS)).astype(np.int64)
+                path = mix(path ^ mix(sigs[at, pick].astype(np.uint64) + pick.astype(np.uint64) * np.uint64(1 << 40) + np.uint64(d + 1)))
             out[:, d] = path
     return out
 
 
-def tree_rows(reps: DataFrame, trees: int = TREES, depth: int = DEPTH) -> DataFrame:
+def tree_rows(reps: DataFrame, trees: tuple[int, ...], depth: int = DEPTH) -> DataFrame:
     """cls, p (path names by depth): one row for each class and tree."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,7 +134,7 @@ def tree_rows(reps: DataFrame, trees: int = TREES, depth: int = DEPTH) -> DataFr
             if not batch.num_rows:
                 continue
             sigs = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(-1, COORDS)
-            for t in range(trees):
+            for t in trees:
                 p = paths(sigs, t, depth).astype(np.int64)
                 offsets = pa.array(np.arange(0, p.size + 1, depth), pa.int32())
                 yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.ListArray.from_arrays(offsets, pa.array(p.ravel()))], names=["cls", "p"])
@@ -140,7 +143,10 @@ def tree_rows(reps: DataFrame, trees: int = TREES, depth: int = DEPTH) -> DataFr
 
 
 def leaves(rows: DataFrame, leaf: int = LEAF, depth: int = DEPTH) -> DataFrame:
-    """leaf, cls: the leaf of each class in each tree, and leaders in the blocks of nodes that never got small."""
+    """leaf, cls: the leaf of each class in each tree, and leaders in the blocks of nodes that never got small.
+
+    The rows of nodes that branch on are written at each level, so each level reads only those.
+    """
     out = None
     for d in range(depth):
         name = F.col("p")[d]
@@ -149,23 +155,21 @@ def leaves(rows: DataFrame, leaf: int = LEAF, depth: int = DEPTH) -> DataFrame:
         out = ended if out is None else out.unionByName(ended)
         if big.isEmpty():
             return out
+        rows = written(rows.join(big, name == F.col("node")).select("cls", "p", "node", "count"), "branching")
         if d < depth - 1:
-            rows = rows.join(big.select("node"), name == F.col("node"), "left_semi")
-            continue
-        blocks = F.ceil(F.col("count") / F.lit(leaf)).cast("int")
-        rest = rows.join(big, name == F.col("node")).select("node", "cls", blocks.alias("blocks"))
-        order = F.struct(F.xxhash64("node", "cls"), F.col("cls"))
-        leaders = rest.groupBy("node", "blocks").agg(F.min(order).alias("a"), F.max(order).alias("b"))
-        leaders = leaders.select("node", F.array("a.cls", "b.cls").alias("both"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-        leaders = leaders.select("node", "block", F.explode("both").alias("cls"))
-        dealt = rest.select("node", F.pmod(F.xxhash64("cls", "node"), F.col("blocks")).cast("int").alias("block"), "cls")
-        blocked = dealt.unionByName(leaders).select(F.xxhash64("node", "block").alias("leaf"), "cls")
-        out = out.unionByName(blocked)
-    return out
-
-
-def alike(sigs: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(i, j, equal minwise tokens) of the pairs that may be links, the most alike first."""
+            rows = rows.select("cls", "p")
+    blocks = F.ceil(F.col("count") / F.lit(leaf)).cast("int")
+    rest = rows.select("node", "cls", blocks.alias("blocks"))
+    order = F.struct(F.xxhash64("node", "cls"), F.col("cls"))
+    leaders = rest.groupBy("node", "blocks").agg(F.min(order).alias("a"), F.max(order).alias("b"))
+    leaders = leaders.select("node", F.array("a.cls", "b.cls").alias("both"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    leaders = leaders.select("node", "block", F.explode("both").alias("cls"))
+    dealt = rest.select("node", F.pmod(F.xxhash64("cls", "node"), F.col("blocks")).cast("int").alias("block"), "cls")
+    return out.unionByName(dealt.unionByName(leaders).select(F.xxhash64("node", "block").alias("leaf"), "cls"))
+
+
+def alike(sigs: np.ndarray, sizes: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, equal minwise tokens) of the pairs of different groups that may be links, the most alike first."""
     order = np.argsort(sizes, kind="stable")
     n, s = sizes[order], sigs[order]
     ends = np.searchsorted(n, n * 100 // PERCENT, side="right")  # a larger set cannot be linked
@@ -173,7 +177,7 @@ def alike(sigs: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     for i in range(len(n) - 1):
         if ends[i] > i + 1:
             same = (s[i + 1 : ends[i]] == s[i]).sum(1)
-            hit = np.flatnonzero(same >= FLOOR * COORDS)
+            hit = np.flatnonzero((same >= FLOOR * COORDS) & (group[order[i + 1 : ends[i]]] != group[order[i]]))
             out += [(int(order[i]), int(order[i + 1 + h]), int(same[h])) for h in hit]
     out.sort(key=lambda x: -x[2])
     return tuple(np.array(c, np.int64) for c in zip(*out)) if out else (np.zeros(0, np.int64),) * 3  # type: ignore[return-value]
@@ -187,39 +191,46 @@ def members(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.StructArray]]:
         yield i, m.values.slice(a, b - a)
 
 
+def groups_of(rows: pa.StructArray) -> np.ndarray:
+    """A number for the component of each class; classes without one are groups of their own."""
+    names = {}
+    return np.array([names.setdefault(r if r is not None else (i,), len(names)) for i, r in enumerate(rows.field("root").to_pylist())], np.int64)
+
+
 def candidates(leaf_rows: DataFrame, reps: DataFrame) -> DataFrame:
-    """leaf, cls, n_shingles, sig (2 bytes a token) of classes with a partner in the leaf by minwise tokens."""
+    """leaf, cls, n_shingles, root, sig (2 bytes a token) of classes with a partner of another component in the leaf, by minwise tokens."""
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 raw = np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint32).reshape(-1, COORDS)
                 short = (raw ^ (raw >> np.uint32(16))).astype(np.uint16)
-                yield pa.RecordBatch.from_arrays([b.column("cls"), b.column("n_shingles"), pa.array([r.tobytes() for r in short], pa.binary())], names=["cls", "n_shingles", "sig"])
+                yield pa.RecordBatch.from_arrays([b.column("cls"), b.column("n_shingles"), b.column("root"), pa.array([r.tobytes() for r in short], pa.binary())], names=["cls", "n_shingles", "root", "sig"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            leaf, cls, n, sig = [], [], [], []
+            leaf, cls, n, root, sig = [], [], [], [], []
             names = batch.column("leaf").to_pylist()
             for i, rows in members(batch):
                 raw = rows.field("sig").to_pylist()
                 sizes = rows.field("n_shingles").to_numpy()
-                a, b, _ = alike(np.frombuffer(b"".join(raw), np.uint16).reshape(-1, COORDS), sizes)
+                a, b, _ = alike(np.frombuffer(b"".join(raw), np.uint16).reshape(-1, COORDS), sizes, groups_of(rows))
                 if len(a):
-                    ids = rows.field("cls").to_pylist()
+                    ids, roots = rows.field("cls").to_pylist(), rows.field("root").to_pylist()
                     for j in np.union1d(a, b).tolist():
                         leaf.append(names[i])
                         cls.append(ids[j])
                         n.append(int(sizes[j]))
+                        root.append(roots[j])
                         sig.append(raw[j])
             if leaf:
-                yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int64()), pa.array(cls, pa.binary()), pa.array(n, pa.int64()), pa.array(sig, pa.binary())], names=["leaf", "cls", "n_shingles", "sig"])
+                yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int64()), pa.array(cls, pa.binary()), pa.array(n, pa.int64()), pa.array(root, pa.binary()), pa.array(sig, pa.binary())], names=["leaf", "cls", "n_shingles", "root", "sig"])
 
     several = leaf_rows.groupBy("leaf").agg(F.collect_set("cls").alias("c")).where(F.size("c") > 1)
-    folded = reps.select("cls", "n_shingles", "sig").mapInArrow(fold, "cls binary, n_shingles bigint, sig binary")
+    folded = reps.select("cls", "n_shingles", "root", "sig").mapInArrow(fold, "cls binary, n_shingles bigint, root binary, sig binary")
     rows = several.select("leaf", F.explode("c").alias("cls")).join(folded, "cls")
-    grouped = rows.groupBy("leaf").agg(F.collect_list(F.struct("cls", "n_shingles", "sig")).alias("m"))
-    return grouped.mapInArrow(run, "leaf bigint, cls binary, n_shingles bigint, sig binary")
+    grouped = rows.groupBy("leaf").agg(F.collect_list(F.struct("cls", "n_shingles", "root", "sig")).alias("m"))
+    return grouped.mapInArrow(run, "leaf bigint, cls binary, n_shingles bigint, root binary, sig binary")
 
 
 def sets_of(docs: DataFrame, wanted_ids: DataFrame) -> DataFrame:
@@ -255,7 +266,9 @@ def links(found: DataFrame, sets: DataFrame) -> DataFrame:
                 ids = rows.field("cls").to_pylist()
                 sizes = rows.field("n_shingles").to_numpy()
                 sets_here = [np.frombuffer(r, np.uint64) for r in rows.field("shingles").to_pylist()]
-                root = list(range(len(ids)))
+                group = groups_of(rows)
+                _, first = np.unique(group, return_index=True)
+                root = first[group].tolist()  # those connected before start in one set
 
                 def find(i: int, root=root) -> int:
                     while root[i] != i:
@@ -263,7 +276,7 @@ def links(found: DataFrame, sets: DataFrame) -> DataFrame:
                         i = root[i]
                     return i
 
-                for i, j, _ in zip(*alike(np.frombuffer(b"".join(rows.field("sig").to_pylist()), np.uint16).reshape(-1, COORDS), sizes)):
+                for i, j, _ in zip(*alike(np.frombuffer(b"".join(rows.field("sig").to_pylist()), np.uint16).reshape(-1, COORDS), sizes, group)):
                     a, b = find(int(i)), find(int(j))
                     if a != b and linked(sets_here[i], sets_here[j]):
                         root[max(a, b)] = min(a, b)
@@ -274,7 +287,7 @@ def links(found: DataFrame, sets: DataFrame) -> DataFrame:
             if left:
                 yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["a", "b"])
 
-    grouped = found.join(sets, "cls").groupBy("leaf").agg(F.collect_list(F.struct("cls", "n_shingles", "sig", "shingles")).alias("m"))
+    grouped = found.join(sets, "cls").groupBy("leaf").agg(F.collect_list(F.struct("cls", "n_shingles", "root", "sig", "shingles")).alias("m"))
     return grouped.mapInArrow(run, "a binary, b binary")
 
 
@@ -297,14 +310,22 @@ def components(edges: DataFrame) -> DataFrame:
     return out
 
 
+def linked_by(docs: DataFrame, reps: DataFrame, trees: tuple[int, ...]) -> DataFrame:
+    """a, b: links between classes (cls, rep, n_shingles, sig, root) of different components that these trees find."""
+    found = written(candidates(leaves(tree_rows(reps, trees)), reps), "candidates")
+    wanted = reps.select("cls", "rep").join(found.select("cls").distinct(), "cls", "left_semi").select(F.col("rep").alias("doc_id")).distinct()
+    return written(links(found, sets_of(docs, wanted)), "found-links")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per document row."""
     rows = written(sketches(docs), "sketches")
     known = rows.where("cls is not null and doc_id is not null")
     reps = written(known.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")), "classes")
-    found = written(candidates(leaves(tree_rows(reps)), reps), "candidates")
-    wanted = reps.select("cls", "rep").join(found.select("cls").distinct(), "cls", "left_semi").select(F.col("rep").alias("doc_id")).distinct()
-    root = components(links(found, sets_of(docs, wanted)))
+    first = linked_by(docs, reps.withColumn("root", F.lit(None).cast("binary")), FIRST_TREES)
+    so_far = written(components(first).toDF("cls", "root"), "roots")
+    more = linked_by(docs, written(reps.join(so_far, "cls", "left"), "classes"), MORE_TREES)
+    root = components(first.unionByName(more))
     named = root.join(reps.select(F.col("cls").alias("node"), "rep"), "node")
     named = written(named, "roots")
     lowest = named.groupBy("root").agg(F.min("rep").alias("low"))
