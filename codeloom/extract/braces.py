@@ -28,11 +28,14 @@ def rule(kind: str, pattern: str, where: str = "any", block: bool = True) -> Rul
     return Rule(kind, re.compile(pattern, re.M), where, block)
 
 
+#: Where a declaration can begin: a line, or right after a brace or semicolon.
+START = r"(?:^|(?<=[{};]))[ \t]*"
+
 # The named groups: name, and where there are any bases, target, recv (receiver).
 JAVASCRIPT = (
     rule("class", rf"\bclass\s+(?P<name>{NAME})(?:\s+extends\s+(?P<bases>[\w$.]+))?"),
     rule("function", rf"(?P<async>\basync\s+)?\bfunction\s*\*?\s*(?P<name>{NAME})\s*(?:<[^>]*>)?\s*\([^)]*\)"),
-    rule("method", rf"^[ \t]*(?:(?:static|get|set|public|private|protected|readonly|override)\s+)*(?P<async>async\s+)?\*?(?P<name>#?{NAME})\s*(?:<[^>]*>)?\([^)]*\)\s*(?::\s*[^{{;=]+)?(?=\{{)", "class"),
+    rule("method", START + rf"(?:(?:static|get|set|public|private|protected|readonly|override)\s+)*(?P<async>async\s+)?\*?(?P<name>#?{NAME})\s*(?:<[^>]*>)?\([^)]*\)\s*(?::\s*[^{{;=]+)?(?=\{{)", "class"),
     rule("constant", rf"^[ \t]*(?:export\s+)?const\s+(?P<name>{NAME})\s*(?::[^=]+)?=(?!\s*(?:async\s*)?(?:\([^)]*\)|{NAME})\s*=>)", "top", False),
     rule("function", rf"^[ \t]*(?:export\s+)?(?:const|let|var)\s+(?P<name>{NAME})\s*(?::[^=]+)?=\s*(?P<async>async\s*)?(?:\([^)]*\)|{NAME})\s*(?::[^=]+)?=>", "top", False),
     rule("variable", rf"^[ \t]*(?:export\s+)?(?:let|var)\s+(?P<name>{NAME})\b(?![^;\n]*=>)", "top", False),
@@ -57,22 +60,22 @@ GO = (
     rule("constant", r"^const\s+(?P<name>\w+)", "top", False),
 )
 RUST = (
-    rule("module", r"^[ \t]*(?:pub(?:\([^)]*\))?\s+)?mod\s+(?P<name>\w+)"),
-    rule("import", r"^[ \t]*(?:pub(?:\([^)]*\))?\s+)?use\s+(?P<name>[^;]+);", "any", False),
-    rule("struct", r"^[ \t]*(?:pub(?:\([^)]*\))?\s+)?struct\s+(?P<name>\w+)"),
-    rule("enum", r"^[ \t]*(?:pub(?:\([^)]*\))?\s+)?enum\s+(?P<name>\w+)"),
-    rule("trait", r"^[ \t]*(?:pub(?:\([^)]*\))?\s+)?(?:unsafe\s+)?trait\s+(?P<name>\w+)"),
-    rule("implementation", r"^[ \t]*(?:unsafe\s+)?impl(?:<[^>]*>)?\s+(?:(?P<bases>[\w:<>, ]+?)\s+for\s+)?(?P<name>\w+)"),
-    rule("function", r"^[ \t]*(?:pub(?:\([^)]*\))?\s+)?(?:const\s+|unsafe\s+|extern\s+\S+\s+)*(?P<async>async\s+)?fn\s+(?P<name>\w+)"),
-    rule("constant", r"^[ \t]*(?:pub(?:\([^)]*\))?\s+)?const\s+(?P<name>[A-Z_]\w*)\s*:", "any", False),
-    rule("variable", r"^[ \t]*(?:pub(?:\([^)]*\))?\s+)?static\s+(?:mut\s+)?(?P<name>\w+)\s*:", "any", False),
-    rule("type", r"^[ \t]*(?:pub(?:\([^)]*\))?\s+)?type\s+(?P<name>\w+)", "any", False),
-    rule("macro", r"^[ \t]*macro_rules!\s*(?P<name>\w+)"),
+    rule("module", START + r"(?:pub(?:\([^)]*\))?\s+)?mod\s+(?P<name>\w+)"),
+    rule("import", START + r"(?:pub(?:\([^)]*\))?\s+)?use\s+(?P<name>[^;]+);", "any", False),
+    rule("struct", START + r"(?:pub(?:\([^)]*\))?\s+)?struct\s+(?P<name>\w+)"),
+    rule("enum", START + r"(?:pub(?:\([^)]*\))?\s+)?enum\s+(?P<name>\w+)"),
+    rule("trait", START + r"(?:pub(?:\([^)]*\))?\s+)?(?:unsafe\s+)?trait\s+(?P<name>\w+)"),
+    rule("implementation", START + r"(?:unsafe\s+)?impl(?:<[^>]*>)?\s+(?:(?P<bases>[\w:<>, ]+?)\s+for\s+)?(?P<name>\w+)"),
+    rule("function", START + r"(?:pub(?:\([^)]*\))?\s+)?(?:const\s+|unsafe\s+|extern\s+\S+\s+)*(?P<async>async\s+)?fn\s+(?P<name>\w+)"),
+    rule("constant", START + r"(?:pub(?:\([^)]*\))?\s+)?const\s+(?P<name>[A-Z_]\w*)\s*:", "any", False),
+    rule("variable", START + r"(?:pub(?:\([^)]*\))?\s+)?static\s+(?:mut\s+)?(?P<name>\w+)\s*:", "any", False),
+    rule("type", START + r"(?:pub(?:\([^)]*\))?\s+)?type\s+(?P<name>\w+)", "any", False),
+    rule("macro", START + r"macro_rules!\s*(?P<name>\w+)"),
 )
-JAVA_HEAD = r"^[ \t]*(?P<mods>(?:@\w+(?:\([^)]*\))?\s+)*(?:(?:public|protected|private|static|final|abstract|sealed|default|synchronized|native|transient|volatile|strictfp)\s+)*)"
+JAVA_HEAD = START + r"(?P<mods>(?:@\w+(?:\([^)]*\))?\s+)*(?:(?:public|protected|private|static|final|abstract|sealed|default|synchronized|native|transient|volatile|strictfp)\s+)*)"
 JAVA = (
-    rule("module", r"^[ \t]*package\s+(?P<name>[\w.]+)\s*;", "top", False),
-    rule("import", r"^[ \t]*import\s+(?:static\s+)?(?P<name>[\w.*]+)\s*;", "top", False),
+    rule("module", START + r"package\s+(?P<name>[\w.]+)\s*;", "top", False),
+    rule("import", START + r"import\s+(?:static\s+)?(?P<name>[\w.*]+)\s*;", "top", False),
     rule("class", JAVA_HEAD + r"(?:class|record)\s+(?P<name>\w+)(?:<[^{]*?>)?(?:\([^)]*\))?(?:\s+extends\s+(?P<bases>[\w.]+))?"),
     rule("interface", JAVA_HEAD + r"interface\s+(?P<name>\w+)(?:<[^{]*?>)?(?:\s+extends\s+(?P<bases>[\w., ]+))?"),
     rule("enum", JAVA_HEAD + r"enum\s+(?P<name>\w+)"),
@@ -98,7 +101,7 @@ CPP = (
     rule("enum", r"\benum\s+class\s+(?P<name>\w+)"),
     rule("module", r"\bnamespace\s+(?P<name>[\w:]+)\s*(?=\{)"),
     rule("type_alias", r"^[ \t]*using\s+(?P<name>\w+)\s*=", "any", False),
-    rule("method", r"^[ \t]*(?:(?:virtual|static|inline|explicit|constexpr|friend)\s+)*(?:[\w:<>,*& \t]+?[ \t*&])?(?P<name>~?\w+|operator\S+)\s*\([^;{}]*\)\s*(?:const|override|final|noexcept|\s)*(?::[^{};]*)?(?=[{;])", "class"),
+    rule("method", START + r"(?:(?:virtual|static|inline|explicit|constexpr|friend)\s+)*(?:[\w:<>,*& \t]+?[ \t*&])?(?P<name>~?\w+|operator\S+)\s*\([^;{}]*\)\s*(?:const|override|final|noexcept|\s)*(?::[^{};]*)?(?=[{;])", "class"),
     rule("function", r"^(?!\s*(?:else|return|typedef|if|for|while|switch|using)\b)[ \t]*[A-Za-z_][\w \t*&:<>,]*?[ \t*&](?P<name>[\w:~]+)\s*\([^;{}]*\)\s*(?:const|noexcept|\s)*(?=\{)", "module"),
 )
 
