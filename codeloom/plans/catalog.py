@@ -99,7 +99,7 @@ def query(name: str, spec: str | None = None, sql: str | None = None) -> Callabl
 
 
 def load() -> None:
-    from codeloom.plans import queries_core, queries_search, queries_text  # noqa: F401
+    from codeloom.plans import queries_core, queries_more, queries_search, queries_text  # noqa: F401
 
 
 load()
