@@ -36,7 +36,7 @@ SLOTS = 1 << 15
 ORDERS = 4  # contexts of 0 to 3 bytes
 BUCKETS = 12
 END = 256
-BLOCK_CHARS, BUCKET_CHARS = 24_000_000, 24_000_000
+BLOCK_CHARS, BUCKET_CHARS = 16_000_000, 24_000_000
 EM_ROUNDS = 12
 CONTEXT_SHARE, SAMPLE_DOCS = 0.001, 20_000
 
@@ -97,32 +97,40 @@ def cell(ctx: np.ndarray, nxt: np.ndarray, order: int) -> np.ndarray:
 
 
 class Speller:
-    """Sorted n-gram cells with counts, and those of their contexts; weights by bucket and order."""
+    """Byte n-gram estimates by order, and weights by bucket and order.
+
+    Only the sparse counts travel; each process spreads them once into arrays of
+    fixed size, so that an estimate is one look-up.
+    """
 
     def __init__(self, cells: np.ndarray, counts: np.ndarray, weights: np.ndarray | None = None):
-        order = np.argsort(cells)
-        self.cells, self.counts = cells[order], counts[order].astype(float)
-        context = self.cells // (257 * ORDERS) * ORDERS + self.cells % ORDERS
-        self.contexts, at = np.unique(context, return_inverse=True)
-        self.totals = np.bincount(at, self.counts, len(self.contexts)) if len(at) else np.zeros(0)
+        self.cells, self.counts = cells, counts
         self.weights = np.full((BUCKETS, ORDERS + 1), 1.0 / (ORDERS + 1)) if weights is None else weights
+        self.tables: list[np.ndarray] = []
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"tables": []}
 
-    @staticmethod
-    def _find(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-        if not len(keys):
-            return np.zeros(len(wanted))
-        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-        return np.where(keys[at] == wanted, values[at], 0.0)
+    def _spread(self) -> None:
+        order, place = self.cells % ORDERS, self.cells // ORDERS
+        for o in range(ORDERS):
+            at, n = place[order == o], self.counts[order == o]
+            contexts = 1 if o == 0 else 258 if o == 1 else SLOTS
+            totals = np.bincount(at // 257, n, contexts)
+            table = np.zeros(contexts * 257, np.float32)
+            table[at] = n / np.maximum(totals[at // 257], 1.0)
+            self.tables.append(table)
+        self.buckets = np.minimum(np.log2(totals + 1).astype(np.int64) // 2, BUCKETS - 1)
 
     def parts(self, ctx: np.ndarray, nxt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(estimate of each order, then 1/257; bucket of the longest context)."""
+        if not self.tables:
+            self._spread()
         p = np.empty((len(nxt), ORDERS + 1))
         p[:, ORDERS] = 1.0 / 257
         for o in range(ORDERS):
-            total = self._find(self.contexts, self.totals, ctx[:, o] * ORDERS + o)
-            p[:, o] = self._find(self.cells, self.counts, cell(ctx, nxt, o)) / np.maximum(total, 1.0)
-        bucket = np.minimum(np.log2(total + 1).astype(np.int64) // 2, BUCKETS - 1)
-        return p, bucket
+            p[:, o] = self.tables[o][ctx[:, o] * 257 + nxt]
+        return p, self.buckets[ctx[:, ORDERS - 1]]
 
     def log10(self, words: list[bytes]) -> np.ndarray:
         """log10 of the spelled probability of each word."""
