@@ -215,12 +215,10 @@ def without_near_copies(rows: DataFrame) -> DataFrame:
     return out.select("text", "toxic")
 
 
-def learn(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, max_patterns: int = MAX_PATTERNS) -> Scorer:
-    """Fits word weights and the final curve on about `sample_rows` rows (text, toxic), picked by a hash of the text."""
-    spark = labelled.sparkSession
+def learn(labelled: DataFrame, max_patterns: int = MAX_PATTERNS) -> Scorer:
+    """Fits word weights and the final curve on the rows (text, toxic) of a bounded sample."""
     rows = labelled.where(F.col("toxic").isin(0, 1) & F.col("text").isNotNull()).select("text", F.col("toxic").cast("int").alias("toxic"))
-    share = sample_rows / max(1, rows.count())
-    sample = without_near_copies(rows.where(hash_share(share, "text")))
+    sample = without_near_copies(rows)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally: tuple[Counter, Counter] = (Counter(), Counter())
@@ -272,10 +270,15 @@ def learn(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, max_patterns: int
     return Scorer(patterns, tuple(float(v) for v in w))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(text, toxic) of labelled documents whose id does not fall into the held-out fold."""
-    known = labels.where(F.col("toxic").isNotNull() & (fold_of(F.col("doc_id"), 4) != 2)).select("doc_id", F.col("toxic").cast("int").alias("toxic")).dropDuplicates(["doc_id"])
-    return docs.select("doc_id", "text").join(known, "doc_id").select("text", "toxic")
+def training_rows(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """(text, toxic) of about `sample_rows` labelled documents, picked by a hash of the id, none of the held-out fold.
+
+    The sample is drawn from the labels, so the join moves the texts of the sample only where it is small enough to broadcast its ids.
+    """
+    known = labels.where(F.col("toxic").isNotNull() & (fold_of(F.col("doc_id"), 4) != 2))
+    picked = known.where(hash_share(sample_rows / max(1, known.count()), "doc_id")).select("doc_id", F.col("toxic").cast("int").alias("toxic")).dropDuplicates(["doc_id"])
+    small = F.broadcast(picked.limit(4 * sample_rows))  # at most that many ids and labels
+    return docs.select("doc_id", "text").join(small, "doc_id").select("text", "toxic")
 
 
 def score_documents(docs: DataFrame, scorer: Scorer, threshold: float = 0.3) -> DataFrame:
