@@ -27,7 +27,7 @@ from codeloom.llm.common import map_texts
 #: The split pattern of byte-level BPE vocabularies.
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 LEAF_CHARS = 4096
-CACHE_SIZE = 200_000
+CACHE_SIZE = 300_000
 #: A vocabulary file above this is not broadcast.
 MAX_VOCABULARY_BYTES = 64 << 20
 
@@ -132,6 +132,18 @@ class TreeEncoder:
         return self.decode_bytes(b"".join(map(self.bytes_of.__getitem__, ids))).decode()
 
 
+_ENCODERS: dict[tuple[int, int], TreeEncoder] = {}
+
+
+def shared_encoder(source: str, leaf_chars: int = LEAF_CHARS) -> TreeEncoder:
+    """One encoder for each vocabulary in a process, so that a worker's tasks share its cache of pieces."""
+    key = hash(source), leaf_chars
+    if key not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[key] = TreeEncoder(source, leaf_chars)
+    return _ENCODERS[key]
+
+
 def vocabulary(spark: SparkSession, path: str) -> Callable[[], str]:
     """Reads the vocabulary file here and sends it to the executors; its size is checked."""
     size = os.path.getsize(path)
@@ -151,7 +163,7 @@ def default_vocabulary() -> str:
 def encode_documents(docs: DataFrame, vocabulary_path: str | None = None, leaf_chars: int = LEAF_CHARS) -> DataFrame:
     """doc_id, ids array<int>."""
     source = vocabulary(docs.sparkSession, vocabulary_path or default_vocabulary())
-    return map_texts(docs, lambda texts, enc: {"ids": [enc.encode(t) for t in texts]}, "ids array<int>", setup=lambda: TreeEncoder(source(), leaf_chars))
+    return map_texts(docs, lambda texts, enc: {"ids": [enc.encode(t) for t in texts]}, "ids array<int>", setup=lambda: shared_encoder(source(), leaf_chars))
 
 
 def decode_documents(encoded: DataFrame, vocabulary_path: str | None = None) -> DataFrame:
@@ -161,7 +173,7 @@ def decode_documents(encoded: DataFrame, vocabulary_path: str | None = None) ->
     source = vocabulary(encoded.sparkSession, vocabulary_path or default_vocabulary())
 
     def run(batches):
-        enc = TreeEncoder(source())
+        enc = shared_encoder(source())
         for b in batches:
             texts = [enc.decode(ids or []) for ids in b.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
@@ -183,7 +195,7 @@ def digest_documents(docs: DataFrame, vocabulary_path: str | None = None) -> Dat
             out["decoded_sha256"].append(hashlib.sha256(enc.decode_bytes(b"".join([raw for _, _, raw in found]))).hexdigest())
         return out
 
-    return map_texts(docs, fn, "n_tokens bigint, ids_sha256 string, decoded_sha256 string", setup=lambda: TreeEncoder(source()))
+    return map_texts(docs, fn, "n_tokens bigint, ids_sha256 string, decoded_sha256 string", setup=lambda: shared_encoder(source()))
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
