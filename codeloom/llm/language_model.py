@@ -1,15 +1,19 @@
 """Language-model scores by deleted interpolation.
 
-P(w | h) = a * c(h, w) / c(h) + b * c(w) / N + c * spelled(w).  The context h of a
-token is the latest frequent word before it in its text (a skip bigram; a word is
-frequent at a thousandth of all tokens, so there are at most a thousand, picked on
-a bounded, documented sample; their counts are of all training documents).  The
-last part spells the word byte by byte: maximum-likelihood byte n-grams of orders
-0 to 3, likewise mixed; contexts of two bytes and more are hashed to SLOTS, which
-bounds its tables.  The weights of both mixtures depend on the frequency bucket of
-the context and come from expectation-maximisation on held-out counts: a tenth of
-the training documents is set aside for them; final counts are of all training
-documents.  A text is its tokens, words and one end; the end is the empty word.
+P(w | h) = a * c(h, w) / c(h) + b * c(w) / N for words of the vocabulary, and c for
+all others as one unknown token: the same events as those of the base score.  The
+context h of a token is the latest frequent word before it in its text (a skip
+bigram; a word is frequent at a thousandth of all tokens, so there are at most a
+thousand, picked on a bounded, documented sample; their counts are of all training
+documents).  a, b and c depend on the frequency bucket of the context and come
+from expectation-maximisation on held-out counts: a fifth of the training documents
+is set aside for them; final counts are of all training documents.
+
+`open_score` is the probability of the very text: it goes on to spell each unknown
+word byte by byte, by maximum-likelihood byte n-grams of orders 0 to 3 over the
+distinct words, mixed in the same way; contexts of two bytes and more are hashed
+to SLOTS, which bounds the tables.  A text is its tokens, words and one end; the
+end is the empty word.
 
 Documents are dealt into blocks by a hash; each block sends one packed row of its
 distinct words and pairs to each word bucket, and gets one packed row of counts
@@ -238,33 +242,34 @@ def vocabulary_rows(batch: pa.RecordBatch) -> Iterator[tuple[list[bytes], np.nda
 
 
 def gram_counts(vocab: DataFrame) -> DataFrame:
-    """cell, est, held: n-gram cells of all orders with their counts in the two training parts."""
+    """cell, est, full: n-gram cells of all orders, counted over the distinct words of the estimation part and of both."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for words, est, held in vocabulary_rows(batch):
                 for a in range(0, len(words), 100_000):
                     ctx, nxt, word = symbols(words[a : a + 100_000])
-                    e, h = est[a : a + 100_000][word], held[a : a + 100_000][word]
+                    e = (est[a : a + 100_000] > 0)[word]
+                    h = (est[a : a + 100_000] + held[a : a + 100_000] > 0)[word]
                     names, at = np.unique(np.concatenate([cell(ctx, nxt, o) for o in range(ORDERS)]), return_inverse=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (names, np.bincount(at, np.tile(e, ORDERS)).astype(np.int64), np.bincount(at, np.tile(h, ORDERS)).astype(np.int64))], names=["cell", "est", "held"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (names, np.bincount(at, np.tile(e, ORDERS)).astype(np.int64), np.bincount(at, np.tile(h, ORDERS)).astype(np.int64))], names=["cell", "est", "full"])
 
-    return vocab.select("words", "n", "est", "held").mapInArrow(run, "cell bigint, est bigint, held bigint").groupBy("cell").agg(F.sum("est").alias("est"), F.sum("held").alias("held")).where("est + held > 0")
+    return vocab.select("words", "n", "est", "held").mapInArrow(run, "cell bigint, est bigint, full bigint").groupBy("cell").agg(F.sum("est").alias("est"), F.sum("full").alias("full")).where("full > 0")
 
 
 def held_events(vocab: DataFrame) -> DataFrame:
-    """event (its contexts and next byte in one number), n: over the held-out words."""
+    """event (its contexts and next byte in one number), n: over the distinct held-out words that the estimation part lacks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for words, _, held in vocabulary_rows(batch):
-                at = np.flatnonzero(held)
+            for words, est, held in vocabulary_rows(batch):
+                at = np.flatnonzero((held > 0) & (est == 0))
                 for a in range(0, len(at), 100_000):
                     some = at[a : a + 100_000]
                     ctx, nxt, word = symbols([words[i] for i in some])
                     key = ((ctx[:, 3] * SLOTS + ctx[:, 2]) * 258 + ctx[:, 1]) * 257 + nxt
                     names, inverse = np.unique(key, return_inverse=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(np.bincount(inverse, held[some][word]).astype(np.int64))], names=["event", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(np.bincount(inverse).astype(np.int64))], names=["event", "n"])
 
     return vocab.select("words", "n", "est", "held").mapInArrow(run, "event bigint, n bigint").groupBy("event").agg(F.sum("n").alias("n"))
 
@@ -292,8 +297,8 @@ def maximise(rows: DataFrame, parts, weights: np.ndarray) -> np.ndarray:
     return weights
 
 
-def learn_speller(vocab: DataFrame) -> tuple[Speller, Speller]:
-    """(the speller of all training counts, that of the estimation part), with weights fitted on the held-out part."""
+def learn_speller(vocab: DataFrame) -> Speller:
+    """The speller of all training words, with weights fitted on new words of the held-out part."""
     grams = gram_counts(vocab).toPandas()  # at most 2 * SLOTS * 257 cells and a few, whatever the corpus
     cells = grams["cell"].to_numpy()
     draft = Speller(cells, grams["est"].to_numpy())
@@ -306,7 +311,7 @@ def learn_speller(vocab: DataFrame) -> tuple[Speller, Speller]:
             yield *draft.parts(np.column_stack([np.zeros(len(n), np.int64), c1, e % SLOTS, e // SLOTS]), nxt), n
 
     draft.weights = maximise(written(held_events(vocab), "held-events"), parts, draft.weights)
-    return Speller(cells, (grams["est"] + grams["held"]).to_numpy(), draft.weights), draft
+    return Speller(cells, grams["full"].to_numpy(), draft.weights)
 
 
 def frequency_bucket(total: np.ndarray) -> np.ndarray:
@@ -333,45 +338,43 @@ def totals(vocab: DataFrame, width: int) -> tuple[np.ndarray, int, int, int]:
     return counts, int(counts[0].sum()), sum(r.n for r in got), sum(r.v for r in got)
 
 
-def learn_mix(vocab: DataFrame, draft: Speller, context_est: np.ndarray, n_est: int) -> np.ndarray:
-    """Weights (bucket x pair, word, spelled) on the held-out pairs."""
+def learn_mix(vocab: DataFrame, context_est: np.ndarray, n_est: int) -> np.ndarray:
+    """Weights (bucket x pair, word, unknown) on the held-out pairs."""
     buckets = frequency_bucket(context_est)
 
     def events(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for words, n, est, *pair in zip(*(batch.column(x).to_pylist() for x in ("words", "n", "est", "pair_word", "pair_context", "pair_est", "pair_held"))):
+            for est, *pair in zip(*(batch.column(x).to_pylist() for x in ("est", "pair_word", "pair_context", "pair_est", "pair_held"))):
                 held = numbers(pair[3])
                 at = np.flatnonzero(held)
                 word, ctx, both = numbers(pair[0], np.int32)[at], numbers(pair[1], np.int16)[at].astype(np.int64), numbers(pair[2])[at]
-                used, back = np.unique(word, return_inverse=True)
-                listed = unpack(words, n)
-                spelled = 10.0 ** draft.log10([listed[i] for i in used])
-                p = np.column_stack([both / np.maximum(context_est[ctx], 1), numbers(est)[word] / max(1, n_est), spelled[back]])
+                single = numbers(est)[word]
+                p = np.column_stack([both / np.maximum(context_est[ctx], 1), single / max(1, n_est), single == 0])
                 yield pa.RecordBatch.from_arrays([pa.array([squeeze(p)]), pa.array([squeeze(buckets[ctx])]), pa.array([squeeze(held[at])])], names=["p", "bucket", "n"])
 
     def parts(batch: pa.RecordBatch):
         for p, bucket, n in zip(*(batch.column(x).to_pylist() for x in ("p", "bucket", "n"))):
             yield numbers(p, np.float64).reshape(-1, 3), numbers(bucket), numbers(n).astype(float)
 
-    rows = written(vocab.mapInArrow(events, "p binary, bucket binary, n binary"), "held-pairs")
+    rows = written(vocab.select("est", "pair_word", "pair_context", "pair_est", "pair_held").mapInArrow(events, "p binary, bucket binary, n binary"), "held-pairs")
     return maximise(rows, parts, np.full((BUCKETS, 3), 1 / 3))
 
 
 def score_documents(docs: DataFrame, folds: int = 5, held_out_fold: int = 1) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score: one row per document."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, open_score: one row per document."""
     fold = fold_of(F.col("doc_id"), folds)
     text = F.col("text").cast("string")
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks, buckets = max(1, math.ceil(chars / BLOCK_CHARS)), max(1, math.ceil(chars / BUCKET_CHARS))
-    part = F.when(fold.isNull() | (fold == held_out_fold), F.lit(-1)).when(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("em")), F.lit(10)) == 0, F.lit(1)).otherwise(F.lit(0))
+    part = F.when(fold.isNull() | (fold == held_out_fold), F.lit(-1)).when(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("em")), F.lit(5)) == 0, F.lit(1)).otherwise(F.lit(0))
     src = docs.select(F.col("doc_id"), text.alias("text"), F.coalesce(fold == held_out_fold, F.lit(False)).alias("held_out"), part.cast("int").alias("part"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block"))
     frequent = frequent_words(src.where("part >= 0").select("text"))
     width = len(frequent) + 1
     found = written(lookup(block_words(src.select("text", "part", "block"), blocks, buckets, frequent), width), "lookup")
     vocab = found.where("block = -1")
     contexts, n_est, big_n, big_v = totals(vocab, width)
-    speller, draft = learn_speller(vocab)
-    mix = learn_mix(vocab, draft, contexts[0], n_est)
+    speller = learn_speller(vocab)
+    mix = learn_mix(vocab, contexts[0], n_est)
     context_n = contexts[1]
     context_mix = mix[frequency_bucket(context_n)]
     model = docs.sparkSession.sparkContext.broadcast(speller)  # bounded by SLOTS
@@ -389,25 +392,28 @@ def score_documents(docs: DataFrame, folds: int = 5, held_out_fold: int = 1) ->
         number = {w: i + 1 for i, w in enumerate(frequent)}
         context = np.fromiter((number.get(w, 0) for w in words), np.int64, len(words))
         base = np.log10((count + 0.5) / (big_n + 0.5 * (big_v + 1)))
-        spelled = 10.0 ** model.value.log10(words)
-        unigram = count / max(1, big_n)
+        unigram, unknown = count / max(1, big_n), count == 0
+        spelled = np.zeros(len(words))
+        new = np.flatnonzero(unknown)
+        spelled[new] = model.value.log10([words[i] for i in new])
         out = []
         for text in left.column("text").to_pylist():
             i = np.fromiter(map(at.__getitem__, tokens_of(text)), np.int64)
             h = contexts_of(i, np.zeros(len(i), np.int64), context)
             seen = values[np.searchsorted(keys, i * width + h)]
-            p = (np.column_stack([seen / np.maximum(context_n[h], 1), unigram[i], spelled[i]]) * context_mix[h]).sum(1)
-            out.append((len(i), int((count[i] > 0).sum()), float(base[i].sum()), float(np.log10(p).sum())))
-        n, k, b, s = zip(*out) if out else ((),) * 4
+            p = (np.column_stack([seen / np.maximum(context_n[h], 1), unigram[i], unknown[i]]) * context_mix[h]).sum(1)
+            total = float(np.log10(p).sum())
+            out.append((len(i), int((~unknown[i]).sum()), float(base[i].sum()), total, total + float(spelled[i].sum())))
+        n, k, b, s, o = zip(*out) if out else ((),) * 5
         return pa.table(
-            [left.column("doc_id"), left.column("held_out"), pa.array(n, pa.int64()), pa.array(k, pa.int64()), pa.array([big_n] * len(n), pa.int64()), pa.array(b, pa.float64()), pa.array(s, pa.float64())],
-            names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+            [left.column("doc_id"), left.column("held_out"), pa.array(n, pa.int64()), pa.array(k, pa.int64()), pa.array([big_n] * len(n), pa.int64()), *(pa.array(x, pa.float64()) for x in (b, s, o))],
+            names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "open_score"],
         )
 
     id_type = src.schema["doc_id"].dataType.simpleString()
     left = src.select("doc_id", "text", "held_out", "block").groupBy("block")
     right = found.where("block >= 0").select("block", "words", "n", "est", "pair_word", "pair_context", "pair_est").groupBy("block")
-    return left.cogroup(right).applyInArrow(score, f"doc_id {id_type}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+    return left.cogroup(right).applyInArrow(score, f"doc_id {id_type}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, open_score double")
 
 
 def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
