@@ -67,9 +67,12 @@ def insult_machine() -> Transducer:
 
 
 def threat_machine() -> Transducer:
-    """A threat counts in full only right before or after a target, here: after one, within three words."""
-    near = {TARGET: (3, 1.0), THREAT: (0, 1.0)}
-    return Transducer(({TARGET: (3, 1.0), THREAT: (0, 0.25)}, near, near, near), (0, 0, 1, 2))
+    """A threat counts in full within three words after a target; else a quarter, and the rest at a target within three words after it.
+
+    States: 0; 1 to 3 a target that many words ago at most; 4 to 6 likewise a threat.
+    """
+    lone, aimed, waiting = ({TARGET: (3, t), THREAT: (q, w)} for t, q, w in ((0.0, 6, 0.25), (0.0, 0, 1.0), (0.75, 6, 0.25)))
+    return Transducer((lone, aimed, aimed, aimed, waiting, waiting, waiting), (0, 0, 1, 2, 0, 4, 5))
 
 
 def target_machine() -> Transducer:
@@ -108,9 +111,9 @@ CLASS_OF = {w: c for c, ws in ((TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT
 
 
 class Scorer:
-    """patterns: (" word ", " begin" or "end ") -> weight.  coef: of 1, log(1 + sum of clause scores) and the highest clause score."""
+    """patterns: (" word ", " begin" or "end ") -> weight.  coef: of 1, log(1 + sum of clause scores), the highest clause score and log(1 + clauses that score)."""
 
-    def __init__(self, patterns: dict[str, float], coef: tuple[float, float, float]):
+    def __init__(self, patterns: dict[str, float], coef: tuple[float, ...]):
         import ahocorasick
 
         self.coef = coef
@@ -160,25 +163,24 @@ class Scorer:
             right = m.start() if m else len(low)
             state = score = 0
             for w in LETTERS.finditer(low, left, right):
-                kind, weight = found.get(w.start(), (CLASS_OF.get(w[0], OTHER), 0.0))
+                kind, weight = found.get(w.start()) or ((k := CLASS_OF.get(w[0], OTHER)), SEED_WEIGHT * (k == TARGET))
                 state, factor = GRAMMAR[state][kind]
                 score += weight * factor
             out.append((left, right, float(score)))
             done = right
         return out
 
-    def evidence(self, text: str) -> tuple[float, float]:
+    def evidence(self, text: str) -> tuple[float, float, float]:
         scores = [s for _, _, s in self.clauses(text)]
-        return math.log1p(sum(scores)), max(scores, default=0.0)
+        return math.log1p(sum(scores)), max(scores, default=0.0), math.log1p(len(scores))
 
     def score(self, text: str) -> float:
-        total, most = self.evidence(text)
-        z = self.coef[0] + self.coef[1] * total + self.coef[2] * most
+        z = self.coef[0] + sum(c * x for c, x in zip(self.coef[1:], self.evidence(text)))
         return 1.0 / (1.0 + math.exp(-max(-40.0, min(40.0, z))))
 
 
 #: Used where there are no labels to learn from.
-DEFAULT_COEF = (-4.0, 2.0, 0.5)
+DEFAULT_COEF = (-4.0, 2.0, 0.5, 0.0)
 
 
 def affixes(word: str) -> list[str]:
@@ -254,13 +256,13 @@ def learn(labelled: DataFrame, max_patterns: int = MAX_PATTERNS) -> Scorer:
         scorer = Scorer(patterns, DEFAULT_COEF)
         for cut, texts in chunks(batches):
             got = [scorer.evidence(t) for t in texts]
-            yield pa.RecordBatch.from_arrays([cut.column("toxic"), pa.array([a for a, _ in got], pa.float64()), pa.array([b for _, b in got], pa.float64())], names=["toxic", "total", "most"])
+            yield pa.RecordBatch.from_arrays([cut.column("toxic"), *(pa.array([g[i] for g in got], pa.float64()) for i in range(3))], names=["toxic", "total", "most", "clauses"])
 
-    got = sample.mapInArrow(measure, "toxic int, total double, most double").toPandas()  # at most about sample_rows rows
-    x = np.column_stack([np.ones(len(got)), got["total"], got["most"]])
+    got = sample.mapInArrow(measure, "toxic int, total double, most double, clauses double").toPandas()  # at most about sample_rows rows
+    x = np.column_stack([np.ones(len(got)), got["total"], got["most"], got["clauses"]])
     y = got["toxic"].to_numpy(float)
-    w = np.zeros(3)
-    ridge = np.diag([1e-3, 0.5, 0.5])
+    w = np.zeros(4)
+    ridge = np.diag([1e-3, 0.5, 0.5, 0.5])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -40, 40)))
         step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge, x.T @ (y - p) - ridge @ w)
