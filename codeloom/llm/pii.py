@@ -122,7 +122,7 @@ def features(text: str, start: int, end: int, key: str) -> tuple[str, ...]:
 
 
 def candidates(text: str) -> list[tuple[int, int, int, int]]:
-    """(start, end, label, form): label of base-form ones, -1 for loose ones; form 0 base, 1 loose."""
+    """(start, end, label, form): form 0 base, 1 loose (label -1), 2 a base form that its check dropped (label "other", for training)."""
     kept, dropped = base_spans(text)
     out = [(a, b, k, 0) for k, a, b in kept]
     taken = sorted((a, b) for _, a, b in kept)
@@ -137,7 +137,7 @@ def candidates(text: str) -> list[tuple[int, int, int, int]]:
     for k, a, b in dropped:
         if free(a, b) and (a, b) not in seen:
             seen.add((a, b))
-            out.append((a, b, OTHER, 0))
+            out.append((a, b, OTHER, 2))
     for m in [*LOOSE_NUMBER.finditer(text), *(LOOSE_EMAIL.finditer(text) if LOOSE_HINT.search(text) else ())]:
         if m.span() not in seen and free(*m.span()):
             out.append((*m.span(), -1, 1))
@@ -212,11 +212,11 @@ def spans_of(text: str, field: Field, min_marginal: float = 0.9) -> tuple[list[t
     if not ANY.search(text):
         return [], []
     found = candidates(text)
-    base = sorted((y, a, b) for a, b, y, form in found if form == 0 and y != OTHER)
+    base = sorted((y, a, b) for a, b, y, form in found if form == 0)
     if not any(form for *_, form in found):
         return base, []
     nodes, edges = graph(text, found)
-    p = field.marginals(nodes, [y for *_, y, _ in found], edges)
+    p = field.marginals(nodes, [y if form == 0 else -1 for *_, y, form in found], edges)
     added = []
     for (a, b, _, form), q in zip(found, p):
         allowed = q[:1] if "@" in key_of(text[a:b]) else np.append(0.0, q[1:OTHER])  # an address is no number
@@ -239,8 +239,8 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Field:
                     continue
                 found = candidates(text)
                 nodes, edges = graph(text, found)
-                tally.update(("n", "|".join(fs), y) for fs, (*_, y, form) in zip(nodes, found) if not form)
-                tally.update(("e", str(t), int(found[i][2] == found[j][2])) for i, j, t in edges if not found[i][3] and not found[j][3])
+                tally.update(("n", "|".join(fs), y) for fs, (*_, y, form) in zip(nodes, found) if form != 1)
+                tally.update(("e", str(t), int(found[i][2] == found[j][2])) for i, j, t in edges if found[i][3] != 1 and found[j][3] != 1)
         yield pa.RecordBatch.from_pydict({"what": [k[0] for k in tally], "features": [k[1] for k in tally], "label": [k[2] for k in tally], "n": list(tally.values())}, pa.schema([("what", pa.string()), ("features", pa.string()), ("label", pa.int32()), ("n", pa.int64())]))
 
     counted = docs.where(cut).select("text").mapInArrow(run, "what string, features string, label int, n bigint").groupBy("what", "features", "label").agg(F.sum("n").alias("n")).collect()
