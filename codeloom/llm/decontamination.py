@@ -21,6 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from codeloom.llm.common import chunks
 
@@ -152,7 +153,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, max_error_rate: float = MA
     id_type = src.schema["doc_id"].dataType.simpleString()
     item_type = benchmark.schema["item_id"].dataType.simpleString()
     schema = f"doc_id {id_type}, item_id {item_type}, distance int, start_word int, end_word int"
-    out = None
+    out, item_arrow = None, to_arrow_type(benchmark.schema["item_id"].dataType)
     for block in item_blocks(benchmark):
         held = docs.sparkSession.sparkContext.broadcast(block)
 
@@ -162,7 +163,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, max_error_rate: float = MA
                 rows = [(i, *m) for i, t in enumerate(texts) for m in matcher.matches(t)]
                 if rows:
                     at, item, dist, a, b = (list(c) for c in zip(*rows))
-                    yield pa.RecordBatch.from_arrays([cut.column("doc_id").take(pa.array(at)), pa.array(item), *(pa.array(c, pa.int32()) for c in (dist, a, b))], names=["doc_id", "item_id", "distance", "start_word", "end_word"])
+                    yield pa.RecordBatch.from_arrays([cut.column("doc_id").take(pa.array(at)), pa.array(item, item_arrow), *(pa.array(c, pa.int32()) for c in (dist, a, b))], names=["doc_id", "item_id", "distance", "start_word", "end_word"])
 
         found = src.mapInArrow(run, schema)
         out = found if out is None else out.unionByName(found)

@@ -70,7 +70,7 @@ class Rollup:
         if batch_id in self.committed():
             return False
         draft, final = shared_folder(self.spark, "rollup-draft"), f"{self.path}/batch={batch_id}"
-        summed(rows).coalesce(1).write.parquet(draft)
+        summed(rows).write.parquet(draft)
         self.fs.mkdirs(self._path(self.path))
         if not self.fs.rename(self._path(draft), self._path(final)):
             raise OSError(f"could not commit {final}")
@@ -90,7 +90,7 @@ class Rollup:
         ids, bases = self.committed(), self._folders("base")
         version = max(map(int, bases), default=0) + 1
         draft = shared_folder(self.spark, "rollup-base")
-        self.totals().coalesce(1).write.parquet(f"{draft}/sums")
+        self.totals().write.parquet(f"{draft}/sums")
         self.spark.createDataFrame([(i,) for i in ids], "id string").coalesce(1).write.json(f"{draft}/ids")
         if not self.fs.rename(self._path(draft), self._path(f"{self.path}/base={version}")):
             raise OSError("could not commit the base")

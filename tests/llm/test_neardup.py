@@ -76,8 +76,8 @@ def test_documents(docs, empty):
     rows = N.near_duplicates(docs).collect()
     got = {(r.doc_id, r.n_shingles): r for r in rows}
     assert len(rows) == 11
-    assert got[2, 18].component_id == 1 and not got[2, 18].kept and got[3, 19].component_id == 1
-    assert got[None, 18].component_id is None and got[None, 18].kept
+    assert got[2, 19].component_id == 1 and not got[2, 19].kept and got[3, 20].component_id == 1
+    assert got[None, 19].component_id is None and got[None, 19].kept
     assert got[4, 0].kept and got[5, 0].component_id == 5 and got[6, 1].kept and got[8, 0].kept
     assert N.near_duplicates(empty).count() == 0
     left = N.without_near_duplicates(docs)

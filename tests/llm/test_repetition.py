@@ -54,5 +54,5 @@ def test_documents(docs, empty):
     rows = {(r.doc_id, r.n_words): r for r in R.quality(docs).collect()}
     assert len(rows) <= 11 and R.quality(docs).count() == 11
     assert rows[5, 0].base_failed and rows[4, 0].n_symbols == 0 and not rows[9, 12000].kept
-    assert rows[1, 22].kept and not rows[1, 22].base_failed
+    assert rows[1, 23].kept and not rows[1, 23].base_failed
     assert R.quality(empty).count() == 0
