@@ -266,14 +266,14 @@ def _(t: Tables) -> DataFrame:
     return ev.batch_stats(ev.batches(stream(t), 10, "file_path"), "file_path")
 
 
-@query("g11_queue_stats", "priority:i event_type:s events:i avg_wait:f", f"select priority, event_type, count(*) as events, avg((epoch_us({NOW}) - epoch_us(ts)) / 1e6) as avg_wait from {EVENTS} group by 1, 2")
+@query("g11_queue_stats", "priority:i event_type:s events:i avg_wait:f", f"select priority, event_type, count(*) as events, round(avg((epoch_us({NOW}) - epoch_us(ts)) / 1e6), 3) as avg_wait from {EVENTS} group by 1, 2")
 def _(t: Tables) -> DataFrame:
     return ev.queue_stats(stream(t), now()).withColumn("avg_wait", F.round("avg_wait", 3))
 
 
-@query("w4_rolling_wait", "event_id:s rolling_wait:f", f"select event_id, avg((epoch_us({NOW}) - epoch_us(ts)) / 1e6) over (partition by file_path order by ts, event_id rows unbounded preceding) as rolling_wait from {EVENTS}")
+@query("w4_rolling_wait", "event_id:s rolling_wait:f", f"select event_id, round(avg((epoch_us({NOW}) - epoch_us(ts)) / 1e6) over (partition by file_path order by ts, event_id rows unbounded preceding), 1) as rolling_wait from {EVENTS}")
 def _(t: Tables) -> DataFrame:
-    return ev.rolling_wait(stream(t), now(), "file_path").withColumn("rolling_wait", F.round("rolling_wait", 3))
+    return ev.rolling_wait(stream(t), now(), "file_path").withColumn("rolling_wait", F.round("rolling_wait", 1))
 
 
 @query("t8_moves", "event_type:s n:i", f"select event_type, count(*) as n from (select event_type from {EVENTS} where event_type <> 'moved' union all select unnest(['deleted', 'created']) from {EVENTS} where event_type = 'moved') group by 1")
