@@ -136,10 +136,15 @@ def failure_runs(runs: DataFrame, *by: str) -> DataFrame:
 
 
 def project_of(events: DataFrame, projects: DataFrame) -> DataFrame:
-    """event_id, project: the project with the longest folder that holds the path."""
-    folder = F.regexp_replace(F.col("root"), "/+$", "")
-    inside = events.join(F.broadcast(projects.limit(100_000)), (F.col("file_path") == folder) | F.col("file_path").startswith(F.concat(folder, F.lit("/"))))
-    return inside.groupBy("event_id").agg(F.max_by("project", F.struct(F.length("root"), F.col("project"))).alias("project"))
+    """event_id, project: the project with the longest folder that holds the path.
+
+    A path is joined by equality on each of its leading folders, so neither side needs to be small.
+    """
+    parts = F.split("file_path", "/")
+    folders = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
+    roots = projects.select("project", F.regexp_replace("root", "/+$", "").alias("folder"))
+    inside = events.select("event_id", F.explode(folders).alias("folder")).join(roots, "folder")
+    return inside.groupBy("event_id").agg(F.max_by("project", F.struct(F.length("folder"), F.col("project"))).alias("project"))
 
 
 def apply_changes(collection, changes: DataFrame, parse: Callable[[DataFrame], DataFrame]) -> int:
