@@ -1,7 +1,8 @@
 """Near duplicates by chosen-path set similarity join.
 
 A document's set holds its distinct five-word shingles (ASCII lower case); two
-documents are linked where 100 * intersection >= 85 * union.  Texts with one set
+documents are linked where 100 * intersection >= percent * union (80 unless given;
+`op4_neardup` takes 85).  Texts with one set
 form a class, joined through one row each.  Every class has 128 minwise tokens.
 Each independent tree branches the classes by selected minwise tokens, two at a
 time: the path so far selects the next ones.  A node of at most `LEAF` classes is
@@ -9,7 +10,8 @@ a leaf; larger ones branch on.  Nodes still larger at `DEPTH` (sets that agree
 almost everywhere) are cut into blocks of leaf size that share two leaders.
 
 A leaf is compared exhaustively, first by the share of equal minwise tokens, then,
-for pairs that reach `FLOOR` there and are not connected yet, on the full sets.
+for pairs at most 4.2 standard deviations short there and not connected yet, on
+the full sets.
 It yields a spanning star for each group found, so output grows with the classes,
 never with the pairs.  The first trees connect most; the others only look at pairs
 across the components so far, which spares moving most sets again.
@@ -35,8 +37,8 @@ from pyspark.sql import functions as F
 
 from codeloom.llm.common import chunks, written
 
-SHINGLE_WORDS, PERCENT = 5, 85
-COORDS, DEPTH, WIDTH, LEAF, FLOOR = 128, 4, 2, 256, 0.72
+SHINGLE_WORDS, PERCENT = 5, 80
+COORDS, DEPTH, WIDTH, LEAF = 128, 4, 2, 256
 FIRST_TREES, MORE_TREES = tuple(range(4)), tuple(range(4, 14))
 
 
@@ -168,16 +170,22 @@ def leaves(rows: DataFrame, leaf: int = LEAF, depth: int = DEPTH) -> DataFrame:
     return out.unionByName(dealt.unionByName(leaders).select(F.xxhash64("node", "block").alias("leaf"), "cls"))
 
 
-def alike(sigs: np.ndarray, sizes: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def floor_of(percent: int) -> float:
+    """Equal minwise tokens that a pair of this similarity hardly ever falls short of."""
+    p = percent / 100
+    return COORDS * p - 4.2 * (COORDS * p * (1 - p)) ** 0.5
+
+
+def alike(sigs: np.ndarray, sizes: np.ndarray, group: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(i, j, equal minwise tokens) of the pairs of different groups that may be links, the most alike first."""
     order = np.argsort(sizes, kind="stable")
     n, s = sizes[order], sigs[order]
-    ends = np.searchsorted(n, n * 100 // PERCENT, side="right")  # a larger set cannot be linked
+    ends = np.searchsorted(n, n * 100 // percent, side="right")  # a larger set cannot be linked
     out = []
     for i in range(len(n) - 1):
         if ends[i] > i + 1:
             same = (s[i + 1 : ends[i]] == s[i]).sum(1)
-            hit = np.flatnonzero((same >= FLOOR * COORDS) & (group[order[i + 1 : ends[i]]] != group[order[i]]))
+            hit = np.flatnonzero((same >= floor_of(percent)) & (group[order[i + 1 : ends[i]]] != group[order[i]]))
             out += [(int(order[i]), int(order[i + 1 + h]), int(same[h])) for h in hit]
     out.sort(key=lambda x: -x[2])
     return tuple(np.array(c, np.int64) for c in zip(*out)) if out else (np.zeros(0, np.int64),) * 3  # type: ignore[return-value]
@@ -197,7 +205,7 @@ def groups_of(rows: pa.StructArray) -> np.ndarray:
     return np.array([names.setdefault(r if r is not None else (i,), len(names)) for i, r in enumerate(rows.field("root").to_pylist())], np.int64)
 
 
-def candidates(leaf_rows: DataFrame, reps: DataFrame) -> DataFrame:
+def candidates(leaf_rows: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
     """leaf, cls, n_shingles, root, sig (2 bytes a token) of classes with a partner of another component in the leaf, by minwise tokens."""
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,7 +222,7 @@ def candidates(leaf_rows: DataFrame, reps: DataFrame) -> DataFrame:
             for i, rows in members(batch):
                 raw = rows.field("sig").to_pylist()
                 sizes = rows.field("n_shingles").to_numpy()
-                a, b, _ = alike(np.frombuffer(b"".join(raw), np.uint16).reshape(-1, COORDS), sizes, groups_of(rows))
+                a, b, _ = alike(np.frombuffer(b"".join(raw), np.uint16).reshape(-1, COORDS), sizes, groups_of(rows), percent)
                 if len(a):
                     ids, roots = rows.field("cls").to_pylist(), rows.field("root").to_pylist()
                     for j in np.union1d(a, b).tolist():
@@ -247,16 +255,16 @@ def sets_of(docs: DataFrame, wanted_ids: DataFrame) -> DataFrame:
     return src.mapInArrow(run, "cls binary, shingles binary").dropDuplicates(["cls"])
 
 
-def linked(x: np.ndarray, y: np.ndarray) -> bool:
-    """100 * intersection >= 85 * union, of sorted sets."""
+def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """100 * intersection >= percent * union, of sorted sets."""
     if len(x) > len(y):
         x, y = y, x
     at = np.searchsorted(y, x)
     common = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-    return 100 * common >= PERCENT * (len(x) + len(y) - common)
+    return 100 * common >= percent * (len(x) + len(y) - common)
 
 
-def links(found: DataFrame, sets: DataFrame) -> DataFrame:
+def links(found: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """a, b (classes): the links of each leaf, as a spanning star of each group, confirmed on the full sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,9 +284,9 @@ def links(found: DataFrame, sets: DataFrame) -> DataFrame:
                         i = root[i]
                     return i
 
-                for i, j, _ in zip(*alike(np.frombuffer(b"".join(rows.field("sig").to_pylist()), np.uint16).reshape(-1, COORDS), sizes, group)):
+                for i, j, _ in zip(*alike(np.frombuffer(b"".join(rows.field("sig").to_pylist()), np.uint16).reshape(-1, COORDS), sizes, group, percent)):
                     a, b = find(int(i)), find(int(j))
-                    if a != b and linked(sets_here[i], sets_here[j]):
+                    if a != b and linked(sets_here[i], sets_here[j], percent):
                         root[max(a, b)] = min(a, b)
                 for i in range(len(ids)):
                     if (r := find(i)) != i:
@@ -310,21 +318,21 @@ def components(edges: DataFrame) -> DataFrame:
     return out
 
 
-def linked_by(docs: DataFrame, reps: DataFrame, trees: tuple[int, ...]) -> DataFrame:
+def linked_by(docs: DataFrame, reps: DataFrame, trees: tuple[int, ...], percent: int) -> DataFrame:
     """a, b: links between classes (cls, rep, n_shingles, sig, root) of different components that these trees find."""
-    found = written(candidates(leaves(tree_rows(reps, trees)), reps), "candidates")
+    found = written(candidates(leaves(tree_rows(reps, trees)), reps, percent), "candidates")
     wanted = reps.select("cls", "rep").join(found.select("cls").distinct(), "cls", "left_semi").select(F.col("rep").alias("doc_id")).distinct()
-    return written(links(found, sets_of(docs, wanted)), "found-links")
+    return written(links(found, sets_of(docs, wanted), percent), "found-links")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per document row."""
     rows = written(sketches(docs), "sketches")
     known = rows.where("cls is not null and doc_id is not null")
     reps = written(known.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")), "classes")
-    first = linked_by(docs, reps.withColumn("root", F.lit(None).cast("binary")), FIRST_TREES)
+    first = linked_by(docs, reps.withColumn("root", F.lit(None).cast("binary")), FIRST_TREES, percent)
     so_far = written(components(first).toDF("cls", "root"), "roots")
-    more = linked_by(docs, written(reps.join(so_far, "cls", "left"), "classes"), MORE_TREES)
+    more = linked_by(docs, written(reps.join(so_far, "cls", "left"), "classes"), MORE_TREES, percent)
     root = components(first.unionByName(more))
     named = root.join(reps.select(F.col("cls").alias("node"), "rep"), "node")
     named = written(named, "roots")
@@ -336,11 +344,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def without_near_duplicates(docs: DataFrame) -> DataFrame:
+def without_near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The rows of docs less those of documents whose component has a lower id, with their columns as they were."""
-    dropped = near_duplicates(docs).where("not kept").select("doc_id").distinct()
+    dropped = near_duplicates(docs, percent).where("not kept").select("doc_id").distinct()
     return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
 
 
 def op4_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), 85)

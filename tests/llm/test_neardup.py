@@ -46,7 +46,7 @@ def corpus(seed, groups=30, copies=12):
 
 def test_against_all_pairs(spark):
     rows = corpus(1)
-    got = {r.doc_id: r for r in N.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    got = {r.doc_id: r for r in N.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), 85).collect()}
     want = plain(rows)
     assert {d: r.component_id for d, r in got.items()} == want
     assert all(r.kept == (want[d] == d) and r.n_shingles == len(shingles(dict(rows)[d])) for d, r in got.items())
@@ -56,14 +56,14 @@ def test_branching_and_blocks(spark, monkeypatch):
     """With tiny leaves all the deeper branches and the shared leaders are used."""
     monkeypatch.setattr(N.leaves, "__defaults__", (6, 2))
     rows = corpus(2, groups=4, copies=60)
-    got = {r.doc_id: r.component_id for r in N.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    got = {r.doc_id: r.component_id for r in N.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), 85).collect()}
     want = plain(rows)
     assert sum(got[d] != want[d] for d in want) <= 0.02 * len(want)
 
 
 def test_linked():
     a = np.arange(100, dtype=np.uint64)
-    assert N.linked(a, a[:85]) and not N.linked(a, a[:84]) and N.linked(a, a)
+    assert N.linked(a, a[:85], 85) and not N.linked(a, a[:84], 85) and N.linked(a, a[:80], 80) and N.linked(a, a, 100)
 
 
 def test_components(spark):
