@@ -40,7 +40,7 @@ SLOTS = 1 << 15
 ORDERS = 4  # contexts of 0 to 3 bytes
 BUCKETS = 12
 END = 256
-BLOCK_CHARS, BUCKET_CHARS = 16_000_000, 24_000_000
+BLOCK_CHARS, BUCKET_CHARS, LEAST_CHARS = 16_000_000, 24_000_000, 2_000_000
 EM_ROUNDS = 12
 CONTEXT_SHARE, SAMPLE_DOCS = 0.001, 20_000
 
@@ -365,7 +365,9 @@ def score_documents(docs: DataFrame, folds: int = 5, held_out_fold: int = 1) ->
     fold = fold_of(F.col("doc_id"), folds)
     text = F.col("text").cast("string")
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks, buckets = max(1, math.ceil(chars / BLOCK_CHARS)), max(1, math.ceil(chars / BUCKET_CHARS))
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    spread = lambda size: max(1, math.ceil(chars / size), min(2 * cores, math.ceil(chars / LEAST_CHARS)))  # noqa: E731  small inputs still use all cores
+    blocks, buckets = spread(BLOCK_CHARS), spread(BUCKET_CHARS)
     part = F.when(fold.isNull() | (fold == held_out_fold), F.lit(-1)).when(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("em")), F.lit(5)) == 0, F.lit(1)).otherwise(F.lit(0))
     src = docs.select(F.col("doc_id"), text.alias("text"), F.coalesce(fold == held_out_fold, F.lit(False)).alias("held_out"), part.cast("int").alias("part"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block"))
     frequent = frequent_words(src.where("part >= 0").select("text"))
