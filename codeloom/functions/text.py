@@ -20,6 +20,8 @@ SEMANTIC_MARKS = (
     "how to", "what is", "why does", "when should", "where can", "which way", "explain", "describe", "find code that", "find", "show me",
     "help me", "i need", "looking for", "similar", "related to", "like", "resembles",
 )
+# The tag of queries within prompts, which also begins tool collection names, and suffixes that stems lose.
+TAG = "ccc"
 STEM_SUFFIXES = ("tion", "ing", "ed", "er", "ly", "al", "ive", "ate", "ize")
 
 
@@ -199,8 +201,8 @@ def matches_any(path: Column, patterns: list[str], whole: bool = True) -> Column
 
 
 def tagged_queries(prompt: Column) -> Column:
-    """array<struct<text, start, end>> of the non-blank <ccc> parts of a prompt, any letter case."""
-    whole = F.regexp_extract_all(prompt, F.lit(r"(?is)<ccc>.*?</ccc>"), F.lit(0))
+    """array<struct<text, start, end>> of the non-blank tagged parts of a prompt, any letter case."""
+    whole = F.regexp_extract_all(prompt, F.lit(rf"(?is)<{TAG}>.*?</{TAG}>"), F.lit(0))
     start = F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<text:string,start:int,end:int>>").alias("out"))
 
     def take(acc: Column, tag: Column) -> Column:
@@ -214,7 +216,7 @@ def tagged_queries(prompt: Column) -> Column:
 
 
 def without_tags(prompt: Column) -> Column:
-    return F.trim(F.regexp_replace(prompt, r"(?is)<ccc>.*?</ccc>", ""))
+    return F.trim(F.regexp_replace(prompt, rf"(?is)<{TAG}>.*?</{TAG}>", ""))
 
 
 def collection_name(project: Column, kind: Column) -> Column:
@@ -222,4 +224,4 @@ def collection_name(project: Column, kind: Column) -> Column:
 
 
 def tool_collection_name(project: Column) -> Column:
-    return F.concat(F.lit("ccc_"), F.regexp_replace(F.lower(project), "[^a-z0-9]", "_"))
+    return F.concat(F.lit(f"{TAG}_"), F.regexp_replace(F.lower(project), "[^a-z0-9]", "_"))
