@@ -7,7 +7,11 @@ form a class, joined through one row each.  Every class has 128 minwise tokens.
 Each independent tree branches the classes by selected minwise tokens, two at a
 time: the path so far selects the next ones.  A node of at most `LEAF` classes is
 a leaf; larger ones branch on.  Nodes still larger at `DEPTH` (sets that agree
-almost everywhere) are cut into blocks of leaf size that share two leaders.
+almost everywhere) are cut into blocks of leaf size.  At first these only share two
+leaders, which connects most of a group of near copies; then every block meets every
+other, in leaves of their own, save two blocks of one component.  So each tree compares
+all pairs in each of its last nodes; the work on a node of n classes that are no links
+grows with n * n / `LEAF` rows, and nothing is left out.
 
 A leaf is compared exhaustively, first by the share of equal minwise tokens, then,
 for pairs at most 4.2 standard deviations short there and not connected yet, on
@@ -17,8 +21,10 @@ never with the pairs.  The first trees connect most; the others only look at pai
 across the components so far, which spares moving most sets again.
 
 A pair of similarity s meets in a tree with probability s**2 at the first level,
-s**4 at the second.  With s = 0.85, fourteen trees miss it with probability 2e-8
-and 3e-5; components survive more, as a document of a large group has many links.
+s**4 at the second and last.  There are as many trees as it takes to miss a pair at
+the threshold with probability `MISS` at the last level: fourteen at 0.85 (3.2e-5; 2e-8
+at the first level), twenty at 0.8 (2.6e-5; 1e-9).  The check on minwise tokens misses
+one in 1e-5 more; components survive more, as a document of a large group has many links.
 Components come from repeated contraction, all in DataFrames.
 
 Texts without words: an empty set, linked with nothing.  Null ids: no component,
@@ -27,6 +33,7 @@ kept.  Rows that repeat an id and a text get equal results.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,8 +45,8 @@ from pyspark.sql import functions as F
 from codeloom.llm.common import chunks, written
 
 SHINGLE_WORDS, PERCENT = 5, 80
-COORDS, DEPTH, WIDTH, LEAF = 128, 4, 2, 256
-FIRST_TREES, MORE_TREES = tuple(range(4)), tuple(range(4, 14))
+COORDS, DEPTH, WIDTH, LEAF = 128, 2, 2, 256
+FIRST_TREES, MISS = 4, 3.3e-5
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -128,6 +135,11 @@ def paths(sigs: np.ndarray, tree: int, depth: int = DEPTH) -> np.ndarray:
     return out
 
 
+def trees_for(percent: int) -> int:
+    """Trees that all part a pair of this similarity, at the last level, with probability `MISS` at most."""
+    return max(FIRST_TREES, math.ceil(math.log(MISS) / math.log1p(-((percent / 100) ** (WIDTH * DEPTH))))) if percent < 100 else FIRST_TREES
+
+
 def tree_rows(reps: DataFrame, trees: tuple[int, ...], depth: int = DEPTH) -> DataFrame:
     """cls, p (path names by depth): one row for each class and tree."""
 
@@ -144,8 +156,8 @@ def tree_rows(reps: DataFrame, trees: tuple[int, ...], depth: int = DEPTH) -> Da
     return reps.select("cls", "sig").mapInArrow(run, "cls binary, p array<bigint>")
 
 
-def leaves(rows: DataFrame, leaf: int = LEAF, depth: int = DEPTH) -> DataFrame:
-    """leaf, cls: the leaf of each class in each tree, and leaders in the blocks of nodes that never got small.
+def leaves(rows: DataFrame, leaf: int = LEAF, depth: int = DEPTH) -> tuple[DataFrame, DataFrame | None, int]:
+    """(leaf, cls) of the classes whose node got small; (node, cls) of those in nodes that never did, None if there are none; the leaf size.
 
     The rows of nodes that branch on are written at each level, so each level reads only those.
     """
@@ -156,18 +168,48 @@ def leaves(rows: DataFrame, leaf: int = LEAF, depth: int = DEPTH) -> DataFrame:
         ended = rows.join(big, name == F.col("node"), "left_anti").select(name.alias("leaf"), "cls")
         out = ended if out is None else out.unionByName(ended)
         if big.isEmpty():
-            return out
-        rows = written(rows.join(big, name == F.col("node")).select("cls", "p", "node", "count"), "branching")
+            return out, None, leaf
+        rows = written(rows.join(big, name == F.col("node")).select("cls", "p", "node"), "branching")
         if d < depth - 1:
             rows = rows.select("cls", "p")
-    blocks = F.ceil(F.col("count") / F.lit(leaf)).cast("int")
-    rest = rows.select("node", "cls", blocks.alias("blocks"))
+    return out, rows.select("node", "cls"), leaf
+
+
+def star_blocks(rest: DataFrame, leaf: int) -> DataFrame:
+    """leaf, cls: blocks of nodes (node, cls) with two leaders of the node in each; finds most components of near copies cheaply."""
+    sizes = rest.groupBy("node").agg(F.ceil(F.count("*") / F.lit(leaf)).cast("int").alias("blocks"))
+    rest = rest.join(written(sizes, "nodes"), "node")
     order = F.struct(F.xxhash64("node", "cls"), F.col("cls"))
     leaders = rest.groupBy("node", "blocks").agg(F.min(order).alias("a"), F.max(order).alias("b"))
     leaders = leaders.select("node", F.array("a.cls", "b.cls").alias("both"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     leaders = leaders.select("node", "block", F.explode("both").alias("cls"))
     dealt = rest.select("node", F.pmod(F.xxhash64("cls", "node"), F.col("blocks")).cast("int").alias("block"), "cls")
-    return out.unionByName(dealt.unionByName(leaders).select(F.xxhash64("node", "block").alias("leaf"), "cls"))
+    return dealt.unionByName(leaders).select(F.xxhash64("node", "block").alias("leaf"), "cls")
+
+
+def block_pairs(rest: DataFrame, reps: DataFrame, leaf: int) -> DataFrame:
+    """leaf, cls: a leaf for every two blocks of a node (node, cls), and for a block with itself, where they hold different components.
+
+    A component with more than a leaf's classes in a node has blocks of its own, whose pairs are known.
+    """
+    rows = written(rest.join(reps.select("cls", F.coalesce("root", "cls").alias("grp")), "cls"), "big-nodes")
+    per = written(rows.groupBy("node", "grp").count(), "node-groups")
+    large = F.col("count") > leaf
+    blocks = F.ceil(F.col("count") / F.lit(leaf)).cast("int")
+    own = per.where(large).select("node", F.col("grp").alias("part"), blocks.alias("blocks"))
+    mixed = per.where(~large).groupBy("node").agg(F.sum("count").alias("count")).select("node", F.lit(None).cast("binary").alias("part"), blocks.alias("blocks"))
+    parts = written(own.unionByName(mixed), "node-parts")
+    name = F.xxhash64("node", F.coalesce("part", F.lit(b"")), "i")
+    named = parts.select("node", "part", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i")).select("node", "part", name.alias("block"))
+    a, b = named.toDF("node", "part_a", "block_a"), named.toDF("node", "part_b", "block_b")
+    pairs = a.join(b, "node").where("block_a <= block_b and (part_a is null or part_b is null or part_a <> part_b)")
+    pairs = pairs.select(F.xxhash64("block_a", "block_b").alias("leaf"), F.explode(F.array_distinct(F.array("block_a", "block_b"))).alias("block"))
+    number = F.pmod(F.xxhash64("cls", "node"), F.col("blocks")).cast("int").alias("i")
+    in_own = rows.join(parts.where("part is not null").withColumnRenamed("part", "grp"), ["node", "grp"], "left").select("node", "cls", "grp", "blocks")
+    dealt = in_own.where("blocks is not null").select("node", "cls", F.col("grp").alias("part"), number)
+    rest_of = in_own.where("blocks is null").drop("blocks").join(parts.where("part is null").drop("part"), "node").select("node", "cls", F.lit(None).cast("binary").alias("part"), number)
+    dealt = written(dealt.unionByName(rest_of).select(name.alias("block"), "cls"), "dealt")
+    return dealt.join(written(pairs, "block-pairs"), "block").select("leaf", "cls")
 
 
 def floor_of(percent: int) -> float:
@@ -318,9 +360,9 @@ def components(edges: DataFrame) -> DataFrame:
     return out
 
 
-def linked_by(docs: DataFrame, reps: DataFrame, trees: tuple[int, ...], percent: int) -> DataFrame:
-    """a, b: links between classes (cls, rep, n_shingles, sig, root) of different components that these trees find."""
-    found = written(candidates(leaves(tree_rows(reps, trees)), reps, percent), "candidates")
+def linked_by(docs: DataFrame, reps: DataFrame, leaf_rows: DataFrame, percent: int) -> DataFrame:
+    """a, b: links between classes (cls, rep, n_shingles, sig, root) of different components that meet in these leaves."""
+    found = written(candidates(leaf_rows, reps, percent), "candidates")
     wanted = reps.select("cls", "rep").join(found.select("cls").distinct(), "cls", "left_semi").select(F.col("rep").alias("doc_id")).distinct()
     return written(links(found, sets_of(docs, wanted), percent), "found-links")
 
@@ -330,9 +372,16 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     rows = written(sketches(docs), "sketches")
     known = rows.where("cls is not null and doc_id is not null")
     reps = written(known.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig")), "classes")
-    first = linked_by(docs, reps.withColumn("root", F.lit(None).cast("binary")), FIRST_TREES, percent)
+    small, big, leaf = leaves(tree_rows(reps, tuple(range(FIRST_TREES))))
+    at_first = small if big is None else small.unionByName(star_blocks(big, leaf))
+    first = linked_by(docs, reps.withColumn("root", F.lit(None).cast("binary")), at_first, percent)
     so_far = written(components(first).toDF("cls", "root"), "roots")
-    more = linked_by(docs, written(reps.join(so_far, "cls", "left"), "classes"), MORE_TREES, percent)
+    reps_so_far = written(reps.join(so_far, "cls", "left"), "classes")
+    then, big_too, leaf = leaves(tree_rows(reps, tuple(range(FIRST_TREES, trees_for(percent)))))
+    for nodes in (big, big_too):
+        if nodes is not None:
+            then = then.unionByName(block_pairs(nodes, reps_so_far, leaf))
+    more = linked_by(docs, reps_so_far, then, percent)
     root = components(first.unionByName(more))
     named = root.join(reps.select(F.col("cls").alias("node"), "rep"), "node")
     named = written(named, "roots")

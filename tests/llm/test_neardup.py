@@ -82,3 +82,28 @@ def test_documents(docs, empty):
     assert N.near_duplicates(empty).count() == 0
     left = N.without_near_duplicates(docs)
     assert left.columns == docs.columns and sorted(str(r.doc_id) for r in left.collect()) == ["1", "1", "4", "5", "6", "7", "8", "9", "None"]
+
+
+def test_pairs_in_a_template_group(spark, monkeypatch):
+    """Texts of one template, each linked with one other only: a large node whose pairs are all compared."""
+    monkeypatch.setattr(N.leaves, "__defaults__", (64, N.DEPTH))
+    rng = random.Random(5)
+    template = [f"word{rng.randrange(3000)}" for _ in range(200)]
+    rows = []
+    for pair in range(600):
+        base = list(template)
+        for at in (20, 60, 100, 101):
+            base[at] = f"only{pair}at{at}"
+        twin = list(base)
+        for at in (165, 175, 185):
+            twin[at] = f"twin{pair}at{at}"
+        rows += [(2 * pair, " ".join(base)), (2 * pair + 1, " ".join(twin))]
+    a, b, c = (shingles(rows[i][1]) for i in (0, 1, 2))
+    assert 100 * len(a & b) >= 85 * len(a | b) and 100 * len(a & c) < 85 * len(a | c)
+    got = {r.doc_id: r.component_id for r in N.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), 85).collect()}
+    assert got == {d: d - d % 2 for d, _ in rows}
+
+
+def test_trees_reach_the_target():
+    for percent in (80, 85):
+        assert (1 - (percent / 100) ** (N.WIDTH * N.DEPTH)) ** N.trees_for(percent) <= N.MISS
