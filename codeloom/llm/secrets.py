@@ -15,7 +15,7 @@ import hashlib
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -28,7 +28,9 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 #: Other ways to introduce a value: more names, a few words or signs between, any printable value.
-CONTEXT = re.compile(r"""(?<![A-Za-z])(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[ _-]?key|access[ _-]?key|private[ _-]?key|credentials?|bearer|kennwort|passwort|contraseña|motdepasse)["']?\x20{0,4}(?::=|=>|[:=]|\x20is\x20|\x20)\x20{0,4}(["'`]?)([!-~]{6,256})""", re.I)
+CONTEXT = re.compile(r"""(?<![A-Za-z])(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[ _-]?key|access[ _-]?key|private[ _-]?key|credentials?|bearer|kennwort|passwort|contraseña|motdepasse)["']?\x20{0,4}(?::=|=>|[:=]|\x20is\x20|\x20)\x20{0,4}(["'`]?)(?=[!-~]{6})""", re.I)
+#: The whole value, however long, by the quote it starts with.
+VALUE = {"": re.compile(r"[!-~]*"), '"': re.compile(r"[!#-~]*"), "'": re.compile(r"[!-&(-~]*"), "`": re.compile(r"[!-_a-~]*")}
 CONTEXT_HINT = re.compile(r"pass|pwd|secret|token|key|credential|bearer|kennwort|contrase", re.I)
 
 #: Keyboard rows, and very common passwords by rank.
@@ -57,50 +59,76 @@ def walk_pairs() -> set[str]:
 WALKS = walk_pairs()
 
 
-def guesses_log10(value: str, ranks: dict[str, float]) -> float:
-    """log10 of the guesses that the cheapest segmentation of the value takes."""
+def guesses_log10(value: str, ranks: dict[str, float], limit: float = math.inf) -> float:
+    """log10 of the guesses that the cheapest segmentation of the value takes, or some number from `limit` on if it reaches that.
+
+    Costs only grow along a segmentation, so what has reached the limit is not followed, and the work ends where nothing
+    below it is left.  Of a long run (repeats, walks, sequences) only ends near its start or its own end are tried.
+    """
     n, low = len(value), value.lower()
     plain = low.translate(LEET)
-    parts: list[list[tuple[int, float]]] = [[] for _ in range(n)]  # by start: (end, log10 guesses)
-    for i in range(n):
+    stops: dict[tuple[int, int], tuple[int, int]] = {}  # by kind of run and step: the last run, start and end
+
+    def run_end(kind: int, step: int, i: int, goes_on: Callable[[int], bool]) -> int:
+        a, j = stops.get((kind, step), (0, 0))
+        if not a <= i < j - 1:
+            a, j = i, i + 1
+            while j < n and goes_on(j):
+                j += 1
+            stops[kind, step] = a, j
+        return j
+
+    def ends(i: int, j: int) -> list[int]:
+        return [*range(i + 3, j + 1)] if j - i <= 256 else [*range(i + 3, i + 128), *range(j - 127, j + 1)]
+
+    def parts_from(i: int) -> list[tuple[int, float]]:
+        """(end, log10 guesses) of the parts that start here, save brute force."""
+        out: list[tuple[int, float]] = []
         for j in range(i + 3, min(n, i + 24) + 1):  # words
             for s, extra in ((low[i:j], 0.0), (plain[i:j], 0.5)):
                 if (r := ranks.get(s)) is not None:
                     upper = 0.0 if value[i:j] == low[i:j] else 0.3 if value[i:j].istitle() or value[i:j].isupper() else 1.0
-                    parts[i].append((j, r + extra + upper))
+                    out.append((j, r + extra + upper))
                     break
-        j = i + 1
-        while j < n and value[j] == value[i]:  # one character again and again
-            j += 1
-        if j - i >= 3:
-            parts[i] += [(k, 1.5 + math.log10(k - i)) for k in range(i + 3, j + 1)]
+        j = run_end(0, 0, i, lambda j: value[j] == value[j - 1])  # one character again and again
+        out += [(k, 1.5 + math.log10(k - i)) for k in ends(i, j)]
         for width in range(2, 9):  # a block again and again
+            if BRUTE * width >= limit:
+                break
             j = i + width
             while value[j : j + width] == value[i : i + width] and j + width <= n:
                 j += width
             if j > i + width:
-                parts[i].append((j, BRUTE * width + math.log10((j - i) // width)))
-        j = i + 1
-        while j < n and low[j - 1 : j + 1] in WALKS:
-            j += 1
-        parts[i] += [(k, 2.0 + 0.5 * math.log10(k - i)) for k in range(i + 3, j + 1)]
+                out.append((j, BRUTE * width + math.log10((j - i) // width)))
+        j = run_end(1, 0, i, lambda j: low[j - 1 : j + 1] in WALKS)
+        out += [(k, 2.0 + 0.5 * math.log10(k - i)) for k in ends(i, j)]
         if i + 2 < n and abs(step := ord(value[i + 1]) - ord(value[i])) == 1 and value[i].isalnum():
-            j = i + 1
-            while j < n and ord(value[j]) - ord(value[j - 1]) == step:
-                j += 1
-            parts[i] += [(k, 1.5 + math.log10(k - i)) for k in range(i + 3, j + 1)]
+            j = run_end(2, step, i, lambda j: ord(value[j]) - ord(value[j - 1]) == step)
+            out += [(k, 1.5 + math.log10(k - i)) for k in ends(i, j)]
         if (m := DATE.match(value, i)) and m.end() - i >= 4:
-            parts[i].append((m.end(), 4.5 if m.end() - i > 4 else 2.1))
-    best: list[dict[int, float]] = [{0: 0.0}] + [{} for _ in range(n)]  # by end: parts -> log10 guesses
+            out.append((m.end(), 4.5 if m.end() - i > 4 else 2.1))
+        return out
+
+    best: dict[int, dict[int, float]] = {0: {0: 0.0}}  # by end: parts -> log10 guesses, all below the limit
     most = 12
     for i in range(n):
-        for k, cost in list(best[i].items()):
-            if k > most:
-                continue
-            for j, g in [*parts[i], *((j, BRUTE * (j - i) + (0.0 if j - i > 1 else 0.1)) for j in range(i + 1, n + 1 if i == 0 or n <= 64 else min(n, i + 64) + 1))]:
-                if cost + g < best[j].get(k + 1, 1e9):
-                    best[j][k + 1] = cost + g
-    return min((c + math.log10(math.factorial(k)) for k, c in best[n].items()), default=BRUTE * n)
+        here = best.pop(i, None)
+        if here:
+            parts = parts_from(i)
+            far = n if i == 0 or n <= 64 else min(n, i + 64)
+            if limit < math.inf:
+                far = min(far, i + int(limit / BRUTE) + 1)
+            parts += [(j, BRUTE * (j - i) + (0.0 if j - i > 1 else 0.1)) for j in range(i + 1, far + 1)]
+            for k, cost in here.items():
+                if k > most:
+                    continue
+                order = math.log10(math.factorial(k + 1))
+                for j, g in parts:
+                    if cost + g + order < limit and cost + g < best.setdefault(j, {}).get(k + 1, 1e9):
+                        best[j][k + 1] = cost + g
+        if not best:
+            return limit
+    return min((c + math.log10(math.factorial(k)) for k, c in best.get(n, {}).items()), default=BRUTE * n if limit == math.inf else limit)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -115,21 +143,18 @@ def added_spans(text: str, base: list[tuple[int, int, int]], ranks: dict[str, fl
     if not CONTEXT_HINT.search(text):
         return []
     out, ends = [], [(a, b) for a, _, b in base]
-    at = 0
-    for m in CONTEXT.finditer(text):
-        start, end = m.span(2)
-        quote, value = m[1], m[2]
-        if quote and quote in value:
-            value = value[: value.index(quote)]
-        value = value.rstrip(".,;:!?)]}>\"'`")
-        end = start + len(value)
+    at = after = 0
+    while m := CONTEXT.search(text, after):
+        start = m.end()
+        value = VALUE[m[1]].match(text, start)[0].rstrip(".,;:!?)]}>\"'`")
+        end = after = start + len(value)
         while at < len(ends) and ends[at][1] <= start:
             at += 1
         if len(value) < 6 or at < len(ends) and ends[at][0] < end:
             continue
         if (value.isalpha() and value.islower()) or value[:1].isupper() and value[1:].islower() and value.isalpha():
             continue  # a word of prose
-        if guesses_log10(value, ranks) >= min_guesses_log10:
+        if guesses_log10(value, ranks, min_guesses_log10) >= min_guesses_log10:
             out.append((start, 3, end))
     return out
 

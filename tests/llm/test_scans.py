@@ -106,3 +106,26 @@ def test_added_secrets():
 def test_secret_documents(docs, empty):
     assert secrets.find_secrets(docs).where("n_assign + n_access + n_hex + n_added > 0").count() == 0
     assert secrets.find_secrets(empty).count() == 0
+
+
+def test_long_secrets():
+    import time
+
+    rng = random.Random(4)
+    long = "".join(rng.choice("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz23456789$%&") for _ in range(800))
+    for text in (f"Bearer {long} end", f"pwd: {long} end", f'pwd: "{long}" end'):
+        assert long not in secrets.redact(text, {}) and secrets.redact(text, {}).replace('"', "").split()[1:][-2:] == ["<secret>", "end"]
+    text = f'{{"pwd":"short1","x":{long},"pwd":"xK9#mQ2$vLw"}}'
+    assert [text[a:b] for a, _, b in secrets.added_spans(text, secrets.base_spans(text), {}, 8.0)] == ["xK9#mQ2$vLw"]
+    start = time.monotonic()
+    assert secrets.guesses_log10("-" * 100_000, {}, 8.0) < 8 and secrets.guesses_log10("xyz" * 30_000, {}, 8.0) < 8
+    assert secrets.redact("pwd: " + long * 300, {}) == "pwd: <secret>"
+    assert time.monotonic() - start < 10
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from(["pass", "summer", "P4ss", "aaaa", "1234", "qwer", "abcd", "19991231", "xyxy", "K#", "7", "z"]), min_size=1, max_size=8))
+def test_guess_limit(parts):
+    ranks, value = {"pass": 1.0, "summer": 1.2}, "".join(parts)
+    full, limited = secrets.guesses_log10(value, ranks), secrets.guesses_log10(value, ranks, 8.0)
+    assert abs(limited - full) < 1e-9 if full < 8 - 1e-9 else limited >= 8 - 1e-9
