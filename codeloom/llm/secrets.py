@@ -142,7 +142,12 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def added_spans(text: str, base: list[tuple[int, int, int]], ranks: dict[str, float], min_guesses_log10: float) -> list[tuple[int, int, int]]:
     if not CONTEXT_HINT.search(text):
         return []
-    out, ends = [], [(a, b) for a, _, b in base]
+    out, ends = [], []
+    for a, _, b in base:  # what the base covers, in runs
+        if ends and a <= ends[-1][1]:
+            ends[-1][1] = max(ends[-1][1], b)
+        else:
+            ends.append([a, b])
     at = after = 0
     while m := CONTEXT.search(text, after):
         start = m.end()
@@ -150,8 +155,8 @@ def added_spans(text: str, base: list[tuple[int, int, int]], ranks: dict[str, fl
         end = after = start + len(value)
         while at < len(ends) and ends[at][1] <= start:
             at += 1
-        if len(value) < 6 or at < len(ends) and ends[at][0] < end:
-            continue
+        if len(value) < 6 or at < len(ends) and ends[at][0] <= start and end <= ends[at][1]:
+            continue  # all of it is a base span
         if (value.isalpha() and value.islower()) or value[:1].isupper() and value[1:].islower() and value.isalpha():
             continue  # a word of prose
         if guesses_log10(value, ranks, min_guesses_log10) >= min_guesses_log10:

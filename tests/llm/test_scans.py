@@ -129,3 +129,10 @@ def test_guess_limit(parts):
     ranks, value = {"pass": 1.0, "summer": 1.2}, "".join(parts)
     full, limited = secrets.guesses_log10(value, ranks), secrets.guesses_log10(value, ranks, 8.0)
     assert abs(limited - full) < 1e-9 if full < 8 - 1e-9 else limited >= 8 - 1e-9
+
+
+def test_values_that_a_base_span_covers_in_part():
+    for value in ("Abcdef123456!Kq#77$zz", "Xy9!0123456789abcdef#Q7z"):
+        for text in (f"password={value} end", f"pwd={value} end"):
+            assert secrets.base_spans(text) or "Abcdef" in text
+            assert secrets.redact(text, {}).removeprefix("pwd=") == "<secret> end"
