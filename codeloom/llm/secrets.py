@@ -1,7 +1,7 @@
 """Secret scans: three pattern kinds, and a guess-cost measure of values in a credential context.
 
 The cost of a value is that of its cheapest segmentation into known words (their
-rank, trained here on a bounded, documented sample of the corpus), dates, repeats,
+rank by counts over the whole corpus, in a table of bounded size), dates, repeats,
 keyboard walks, sequences and brute-force spans, found by dynamic programming over
 its positions; a segmentation of k parts costs k! times the product of its parts.
 A value whose log10 guesses reach `min_guesses_log10` is a secret.
@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import LETTERS, chunks, hash_share, map_texts
+from codeloom.llm.common import LETTERS, chunks, map_texts
 
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -47,7 +47,7 @@ COMMON = (
 LEET = str.maketrans("4@310!|5$7", "aaeioilsst")
 DATE = re.compile(r"(?:19|20)\d\d[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:19|20)?\d\d|(?:19|20)\d\d")
 BRUTE = math.log10(10)
-SAMPLE_DOCS, MAX_WORDS = 5_000, 20_000
+MAX_WORDS, TALLY = 20_000, 200_000
 
 
 def walk_pairs() -> set[str]:
@@ -95,11 +95,13 @@ def guesses_log10(value: str, ranks: dict[str, float], limit: float = math.inf)
         for width in range(2, 9):  # a block again and again
             if BRUTE * width >= limit:
                 break
-            j = i + width
-            while value[j : j + width] == value[i : i + width] and j + width <= n:
-                j += width
-            if j > i + width:
-                out.append((j, BRUTE * width + math.log10((j - i) // width)))
+            if j >= i + 2 * width:
+                continue  # one character only, cheaper as that
+            e = i + width
+            while value[e : e + width] == value[i : i + width] and e + width <= n:
+                e += width
+            if e > i + width:
+                out.append((e, BRUTE * width + math.log10((e - i) // width)))
         j = run_end(1, 0, i, lambda j: low[j - 1 : j + 1] in WALKS)
         out += [(k, 2.0 + 0.5 * math.log10(k - i)) for k in ends(i, j)]
         if i + 2 < n and abs(step := ord(value[i + 1]) - ord(value[i])) == 1 and value[i].isalnum():
@@ -164,19 +166,24 @@ def added_spans(text: str, base: list[tuple[int, int, int]], ranks: dict[str, fl
     return out
 
 
-def train_ranks(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, max_words: int = MAX_WORDS) -> dict[str, float]:
-    """log10 rank of words by frequency in about `sample_docs` documents, the first `max_words`; common passwords come first."""
-    share = sample_docs / max(1, docs.count())
-    cut = hash_share(share, "doc_id", "text")
+def train_ranks(docs: DataFrame, max_words: int = MAX_WORDS) -> dict[str, float]:
+    """log10 rank of words by frequency in all documents, the first `max_words`; common passwords come first."""
+
+    def counted(tally: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"word": list(tally), "n": list(tally.values())}, pa.schema([("word", pa.string()), ("n", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally: Counter = Counter()
         for _, texts in chunks(batches):
             for text in texts:
                 tally.update(w for w in LETTERS.findall(text.lower()) if 3 <= len(w) <= 24)
-        yield pa.RecordBatch.from_pydict({"word": list(tally), "n": list(tally.values())}, pa.schema([("word", pa.string()), ("n", pa.int64())]))
+                if len(tally) >= TALLY:
+                    yield counted(tally)
+                    tally = Counter()
+        yield counted(tally)
 
-    top = docs.where(cut).select("text").mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(max_words).collect()
+    text = F.col("text").cast("string").alias("text")
+    top = docs.select(text).mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(max_words).collect()
     words = dict.fromkeys([*COMMON, *(r.word for r in top)])
     return {w: math.log10(i + 2) for i, w in enumerate(words)}
 

@@ -135,4 +135,11 @@ def test_values_that_a_base_span_covers_in_part():
     for value in ("Abcdef123456!Kq#77$zz", "Xy9!0123456789abcdef#Q7z"):
         for text in (f"password={value} end", f"pwd={value} end"):
             assert secrets.base_spans(text) or "Abcdef" in text
-            assert secrets.redact(text, {}).removeprefix("pwd=") == "<secret> end"
+            assert secrets.redact(text, {}).removeprefix("password=").removeprefix("pwd=") == "<secret> end"
+
+
+def test_ranks_count_every_document(spark):
+    words = ["".join(chr(97 + n // 26**k % 26) for k in range(4)) for n in range(12_000)]
+    rows = [(i, w) for i, w in enumerate(words)] + [(len(words), "often often")]
+    ranks = secrets.train_ranks(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert set(words) <= set(ranks) and ranks["often"] < min(ranks[w] for w in words if w not in secrets.COMMON)
