@@ -50,6 +50,7 @@ HINTS = {
     "phone": ("phone", "tel", "call", "fax", "mobile", "telefon", "teléfono"),
 }
 SAMPLE_DOCS = 20_000
+PRIME, BASE = (1 << 89) - 1, 0x9E3779B97F4A7C15F39CC060  # of the hashes of keys
 
 
 def luhn(digits: str) -> bool:
@@ -145,26 +146,47 @@ def candidates(text: str) -> list[tuple[int, int, int, int]]:
 
 
 def similar_edges(keys: list[str]) -> list[tuple[int, int, int]]:
-    """(i, j, 1 same key / 2 one changed character) in chains: keys equal, or equal in one half and of one length."""
+    """(i, j, 1 same key / 2 one changed character) / with and without a country code, in chains: keys equal, equal but for one position, or one the other's tail."""
     edges, groups = set(), defaultdict(list)
     for i, k in enumerate(keys):
         groups["=", k].append(i)
     firsts = [g[0] for g in groups.values()]
     for (_, _k), g in groups.items():
         edges.update((a, b, 1) for a, b in zip(g, g[1:]))
-    halves = defaultdict(list)
+    blanked = defaultdict(list)
     for i in firsts:
         k = keys[i]
         if len(k) >= 8:
-            halves[len(k), 0, k[: len(k) // 2]].append(i)
-            halves[len(k), 1, k[len(k) // 2 :]].append(i)
-    for g in halves.values():
-        for a, b in zip(g, g[1:]):
-            if sum(x != y for x, y in zip(keys[a], keys[b])) == 1:
-                edges.add((a, b, 2))
+            for name in one_left_out(k):
+                blanked[name].append(i)
+    for g in blanked.values():  # all members of a group differ in that one position only
+        edges.update((min(a, b), max(a, b), 2) for a, b in zip(g, g[1:]))
+    whole = {keys[i]: i for i in firsts}
+    tails = defaultdict(list)
+    for k, i in whole.items():
+        if k.isdigit():
+            for cut in range(1, min(3, len(k) - 8) + 1):  # a country code of one to three digits
+                tails[k[cut:]].append(i)
+    for k, g in tails.items():
+        if k in whole:
+            chain = sorted({whole[k], *g})
+            edges.update((a, b, 2) for a, b in zip(chain, chain[1:]))
     return sorted(edges)
 
 
+def one_left_out(key: str) -> list[tuple[int, int, int]]:
+    """(length, position, hash of the rest) for each position of the key, in time linear in its length."""
+    ahead = [0]
+    for c in key:
+        ahead.append((ahead[-1] * BASE + ord(c) + 1) % PRIME)
+    out, behind, power = [], 0, 1
+    for i in range(len(key) - 1, -1, -1):
+        out.append((len(key), i, (ahead[i] * power * BASE + behind) % PRIME))
+        behind = (behind + (ord(key[i]) + 1) * power) % PRIME
+        power = power * BASE % PRIME
+    return out
+
+
 class Field:
     """Weights of the field: features x labels, and label agreement for chain (0), same-key (1) and similar-key (2) edges."""
 

@@ -143,3 +143,28 @@ def test_ranks_count_every_document(spark):
     rows = [(i, w) for i, w in enumerate(words)] + [(len(words), "often often")]
     ranks = secrets.train_ranks(spark.createDataFrame(rows, "doc_id bigint, text string"))
     assert set(words) <= set(ranks) and ranks["often"] < min(ranks[w] for w in words if w not in secrets.COMMON)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet="12", min_size=8, max_size=9), max_size=30))
+def test_similar_keys_are_connected(keys):
+    """Every two keys that differ in one character are joined by skip edges, however many others are like them."""
+    edges = pii.similar_edges(keys)
+    alike = lambda x, y: len(x) == len(y) and sum(p != q for p, q in zip(x, y)) <= 1
+    tail = lambda x, y: min(len(x), len(y)) >= 8 and (x.endswith(y) or y.endswith(x))
+    assert all(alike(keys[i], keys[j]) or tail(keys[i], keys[j]) or len(keys[i]) != len(keys[j]) or keys[i][1:] == keys[j][1:] for i, j, _ in edges)
+    root = list(range(len(keys)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, j, _ in edges:
+        root[find(i)] = find(j)
+    assert all(find(i) == find(j) for i in range(len(keys)) for j in range(i) if alike(keys[i], keys[j]) or tail(keys[i], keys[j]))
+
+
+def test_similar_key_behind_another():
+    assert (0, 2, 2) in pii.similar_edges(["12345678", "12340000", "12345679"])
+    assert (0, 1, 2) in pii.similar_edges(["15550177130", "5550177130"])
