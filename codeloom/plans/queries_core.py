@@ -210,11 +210,15 @@ def _(t: Tables) -> DataFrame:
     return ev.project_of(paths, t.rows([("all", "/w"), ("even", "/w/e/")], "project string, root string"))
 
 
+def order_edges(li: DataFrame) -> DataFrame:
+    """source, target: every order to its parts, every part to its suppliers."""
+    parts = li.select(F.concat(F.lit("o"), "l_orderkey").alias("source"), F.concat(F.lit("p"), "l_partkey").alias("target"))
+    return parts.unionByName(li.select(F.concat(F.lit("p"), "l_partkey").alias("source"), F.concat(F.lit("s"), "l_suppkey").alias("target"))).distinct()
+
+
 @query("v14_graph_reach", "node:s hops:i", "with recursive e as (select distinct 'o' || l_orderkey as s, 'p' || l_partkey as t from lineitem where l_orderkey < 40 union select distinct 'p' || l_partkey, 's' || l_suppkey from lineitem), h1 as (select distinct t as node from e where s = 'o1'), h2 as (select distinct t as node from e join h1 on s = h1.node) select 'o1' as node, 0 as hops union all select node, 1 from h1 union all select node, 2 from h2 where node not in (select node from h1)")
 def _(t: Tables) -> DataFrame:
-    li = t.lineitem
-    edges = li.where("l_orderkey < 40").select(F.concat(F.lit("o"), "l_orderkey").alias("source"), F.concat(F.lit("p"), "l_partkey").alias("target")).unionByName(li.select(F.concat(F.lit("p"), "l_partkey").alias("source"), F.concat(F.lit("s"), "l_suppkey").alias("target"))).distinct()
-    return joins.neighbours(edges, t.rows([("o1",)], "node string"), 2)
+    return joins.neighbours(order_edges(t.lineitem), t.rows([("o1",)], "node string"), 2)
 
 
 # events as a file-event stream

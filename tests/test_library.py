@@ -232,3 +232,15 @@ def test_event_order_and_capacity(spark):
     kinds = [r.event_type for r in ev.batches(e, 10).orderBy("batch", "place").collect()]
     assert kinds == ["deleted"] * 10 + ["modified"] * 10 + ["created"] * 10 + ["moved"] * 10
     assert ev.admitted(e, 7).count() == 7 and ev.pending(e).count() == 5
+
+
+def test_reach_from_any_order(spark):
+    from codeloom.operators import joins
+    from codeloom.plans.queries_core import order_edges
+
+    items = [(o, (o * 7) % 11, (o * 5) % 6) for o in range(1, 81)]
+    edges = order_edges(spark.createDataFrame(items, "l_orderkey bigint, l_partkey bigint, l_suppkey bigint"))
+    for start in (1, 40, 77):
+        part = {f"p{p}" for o, p, _ in items if o == start}
+        want = {(f"o{start}", 0), *((p, 1) for p in part), *((f"s{s}", 2) for _, p, s in items if f"p{p}" in part)}
+        assert {tuple(r) for r in joins.neighbours(edges, spark.createDataFrame([(f"o{start}",)], "node string"), 2).collect()} == want
