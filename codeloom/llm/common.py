@@ -22,6 +22,14 @@ BATCH_CHARS = 2_000_000
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
+def mix(x: np.ndarray) -> np.ndarray:
+    """A bijective scrambling of 64-bit numbers."""
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 def fold_of(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo `folds`; null for a null id."""
     return F.crc32(doc_id.cast("string")) % F.lit(folds)
@@ -37,18 +45,22 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").split()
 
 
-def chunks(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = BATCH_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Slices of the batches with about `limit` bytes of text each (one row at least), and their texts ("" for null)."""
+def cuts(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = BATCH_CHARS) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches with about `limit` bytes of text each (one row at least)."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        col = batch.column(column)
-        sizes = np.zeros(batch.num_rows, np.int64) + np.asarray(pc.fill_null(pc.binary_length(col), 0))
+        sizes = np.zeros(batch.num_rows, np.int64) + np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0))
         part = np.cumsum(sizes) // limit
         edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
         for a, b in zip(edges, edges[1:]):
-            cut = batch.slice(a, b - a)
-            yield cut, [x or "" for x in cut.column(column).to_pylist()]
+            yield batch.slice(a, b - a)
+
+
+def chunks(batches: Iterable[pa.RecordBatch], column: str = "text", limit: int = BATCH_CHARS) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Such slices, each with its texts ("" for null)."""
+    for cut in cuts(batches, column, limit):
+        yield cut, [x or "" for x in cut.column(column).to_pylist()]
 
 
 def map_texts(df: DataFrame, fn: Callable[[list[str]], dict[str, list]], schema: str, key: str = "doc_id", text: str = "text", also: dict[str, Column] | None = None, setup: Callable | None = None) -> DataFrame:

@@ -1,56 +1,58 @@
-"""Language-model scores by deleted interpolation.
-
-P(w | h) = a * c(h, w) / c(h) + b * c(w) / N for words of the vocabulary, and c for
-all others as one unknown token: the same events as those of the base score.  The
-context h of a token is the latest frequent word before it in its text (a skip
-bigram; a word is frequent at a thousandth of all tokens, so there are at most a
-thousand, picked on a bounded, documented sample; their counts are of all training
-documents).  a, b and c depend on the frequency bucket of the context and come
-from expectation-maximisation on held-out counts: a fifth of the training documents
-is set aside for them; final counts are of all training documents.
-
-`open_score` is the probability of the very text: it goes on to spell each unknown
-word byte by byte, by maximum-likelihood byte n-grams of orders 0 to 3 over the
-distinct words, mixed in the same way; contexts of two bytes and more are hashed
-to SLOTS, which bounds the tables.  A text is its tokens, words and one end; the
-end is the empty word.
-
-Documents are dealt into blocks by a hash; each block sends one packed row of its
-distinct words and pairs to each word bucket, and gets one packed row of counts
-back, so shuffles hold distinct words of blocks, not tokens, and no word or
-document makes a hot key.
+"""Language-model scores by deleted interpolation of word trigrams.
+
+P(w | u, v) = a * c(u, v, w) / c(u, v) + b * c(v, w) / c(v) + c * c(w) / N for words of
+the vocabulary, and d for all others as one unknown token: the same events as those of
+the base score.  Counts are of every n-gram of all training documents.  The weights
+depend on the frequency buckets of both contexts, c(u, v) and c(v), and come from
+expectation-maximisation on held-out counts: a twentieth of the training documents is
+set aside for them, and the estimates they meet are of the others; final counts are of
+all training documents.  A text is its words and one end; before it stand two marks.
+
+Documents are read into blocks, each of one kind (estimation, held-out, scored only),
+and kept as packed word numbers.  A block asks each bucket of hash values once for the
+words and n-grams it holds, packed and sorted, and gets packed counts back.  So
+the text is read once and never shuffled, a shuffled entry is a distinct n-gram of
+a block, and no word or context makes a hot key: n-grams are dealt by their own hash,
+not by their context's.
+
+Words are compared as they are.  N-grams are told apart by hashes that have twenty bits
+more than the number of characters has, so an unseen one is taken for another with a
+probability below one in a million at any size up to 4 TB (62 bits at most).
 
 Null and empty texts consist of the end alone.  Null ids: scored, never trained on.
+Rows that repeat an id count each time.  Without training tokens every word is unknown.
+A repeated task must see the same rows in the same order, as with tables in files.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import chunks, fold_of, hash_share, written
+from codeloom.llm.common import cuts, fold_of, mix, written
 
-SLOTS = 1 << 15
-ORDERS = 4  # contexts of 0 to 3 bytes
-BUCKETS = 12
-END = 256
-BLOCK_CHARS, BUCKET_CHARS, LEAST_CHARS = 16_000_000, 24_000_000, 2_000_000
-EM_ROUNDS = 12
-CONTEXT_SHARE, SAMPLE_DOCS = 0.001, 20_000
+ORDER = 3
+BLOCK_CHARS, BUCKET_CHARS, LEAST_CHARS = 16_000_000, 12_000_000, 2_000_000
+ESTIMATION, HELD, SCORED = 0, 1, 2
+HELD_ONE_IN = 20
+EM_ROUNDS, EM_CLOSE, EM_PRIOR = 15, 2e-3, 1.0
+LEVELS = 12
+SPACE = np.zeros(256, bool)
+SPACE[[9, 10, 11, 12, 13, 32]] = True
+with np.errstate(over="ignore"):
+    FACTORS = mix(np.arange(501, 501 + ORDER, dtype=np.uint64)) | np.uint64(1)
+BEFORE = mix(np.array([77], np.uint64))[0]
 
 
-def tokens_of(text: str | None) -> list[bytes]:
-    return [*(text or "").encode("utf-8", "surrogatepass").lower().split(), b""]
-
-
-def squeeze(raw: bytes | np.ndarray) -> bytes:
-    raw = raw if isinstance(raw, bytes) else raw.tobytes()
+def squeeze(raw: bytes) -> bytes:
     return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
@@ -58,364 +60,323 @@ def expand(blob: bytes) -> bytes:
     return pa.decompress(blob[8:], decompressed_size=int.from_bytes(blob[:8], "little"), codec="zstd", asbytes=True)
 
 
-def numbers(blob: bytes, kind: type = np.int64) -> np.ndarray:
-    return np.frombuffer(expand(blob), kind)
+def pack(numbers: np.ndarray) -> bytes:
+    """Non-negative integers in the least width that holds them, compressed byte plane by byte plane."""
+    if not len(numbers):
+        return b""
+    least = numbers.astype(np.min_scalar_type(int(numbers.max())))
+    return bytes([least.itemsize]) + squeeze(least.view(np.uint8).reshape(len(least), -1).T.tobytes())
 
 
-def pack(words: list[bytes]) -> bytes:
-    return squeeze(b"\n".join(words))
+def unpack(blob: bytes) -> np.ndarray:
+    if not blob:
+        return np.zeros(0, np.uint64)
+    width = blob[0]
+    return np.ascontiguousarray(np.frombuffer(expand(blob[1:]), np.uint8).reshape(width, -1).T).view(f"u{width}").ravel()
 
 
-def unpack(blob: bytes, n: int) -> list[bytes]:
-    return expand(blob).split(b"\n") if n else []
+def pack_sorted(hashes: np.ndarray) -> bytes:
+    return pack(np.diff(hashes, prepend=np.uint64(0)))
 
 
-def contexts_of(code: np.ndarray, first: np.ndarray, context: np.ndarray) -> np.ndarray:
-    """For each token the context number (0: none) of the latest frequent word before it in its text; first: where its text begins."""
-    n = len(code)
-    own = context[code]
-    last = np.maximum.accumulate(np.where(own > 0, np.arange(n), -1))
-    before = np.append(-1, last[:-1])
-    return np.where(before >= first, own[np.maximum(before, 0)], 0)
+def unpack_sorted(blob: bytes) -> np.ndarray:
+    return np.cumsum(unpack(blob), dtype=np.uint64)
 
 
-def symbols(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(contexts: positions x orders, next symbol, number of the word) of all bytes and ends of the words."""
-    raw = np.frombuffer(b"\n".join(words) + b"\n", np.uint8).astype(np.int64)
-    end = raw == 10
-    word = np.cumsum(end) - end
-    nxt = np.where(end, END, raw)
-    ctx = np.zeros((len(raw), ORDERS), np.int64)
-    starts = np.append(0, np.flatnonzero(end)[:-1] + 1)
-    into = np.arange(len(raw)) - starts[word]  # bytes before this one in its word
-    code = np.zeros(len(raw), np.int64)
-    for o in range(1, ORDERS):
-        before = np.where(into >= o, np.append(np.zeros(o, np.int64), raw[:-o])[: len(raw)], 0)  # 0: the word begins here
-        code = code * 257 + before + 1
-        ctx[:, o] = code if o == 1 else (code * 2654435761 >> 7) % SLOTS
-    return ctx, nxt, word
+def strings(lengths: np.ndarray, body: bytes) -> pa.Array:
+    offsets = np.append(0, np.cumsum(lengths)).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(body)])
 
 
-def cell(ctx: np.ndarray, nxt: np.ndarray, order: int) -> np.ndarray:
-    return (ctx[:, order] * 257 + nxt) * ORDERS + order
+def pack_strings(words: pa.Array) -> list[bytes]:
+    lengths = pc.binary_length(words).to_numpy(zero_copy_only=False)
+    return [pack(lengths), squeeze(b"".join(words.to_pylist()))]
 
 
-class Speller:
-    """Byte n-gram estimates by order, and weights by bucket and order.
+def tokenise(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(distinct words, commonest first; the number of each token's word; tokens of each text), the end being the empty word."""
+    col = pc.fill_null(texts, "").cast(pa.large_binary())
+    edges = np.frombuffer(col.buffers()[1], np.int64)[col.offset : col.offset + len(col) + 1] if len(col) else np.zeros(1, np.int64)
+    data = col.buffers()[2]
+    low = np.frombuffer(data[int(edges[0]) : int(edges[-1])].to_pybytes().lower(), np.uint8) if data else np.zeros(0, np.uint8)
+    edges = edges - edges[0]
+    inside = ~SPACE[low]
+    start = inside.copy()
+    start[1:] &= ~inside[:-1]
+    first = edges[:-1][edges[:-1] < len(low)]
+    start[first] = inside[first]  # a text begins a word, whatever stood before it
+    lengths = np.diff(np.append(np.flatnonzero(start[inside]), inside.sum()))
+    words = strings(lengths, low[inside].tobytes()).dictionary_encode()
+    per = np.diff(np.searchsorted(np.flatnonzero(start), edges)) + 1
+    ends = np.cumsum(per) - 1
+    code = np.full(len(lengths) + len(per), len(words.dictionary), np.int64)
+    word = np.ones(len(code), bool)
+    word[ends] = False
+    code[word] = words.indices.to_numpy(zero_copy_only=False)
+    known = pa.concat_arrays([words.dictionary, pa.array([b""], pa.binary())])
+    order = np.argsort(-np.bincount(code, minlength=len(known)), kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return known.take(pa.array(order)), rank[code], per
 
-    Only the sparse counts travel; each process spreads them once into arrays of
-    fixed size, so that an estimate is one look-up.
-    """
 
-    def __init__(self, cells: np.ndarray, counts: np.ndarray, weights: np.ndarray | None = None):
-        self.cells, self.counts = cells, counts
-        self.weights = np.full((BUCKETS, ORDERS + 1), 1.0 / (ORDERS + 1)) if weights is None else weights
-        self.tables: list[np.ndarray] = []
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"tables": []}
-
-    def _spread(self) -> None:
-        order, place = self.cells % ORDERS, self.cells // ORDERS
-        for o in range(ORDERS):
-            at, n = place[order == o], self.counts[order == o]
-            contexts = 1 if o == 0 else 258 if o == 1 else SLOTS
-            totals = np.bincount(at // 257, n, contexts)
-            table = np.zeros(contexts * 257, np.float32)
-            table[at] = n / np.maximum(totals[at // 257], 1.0)
-            self.tables.append(table)
-        self.buckets = np.minimum(np.log2(totals + 1).astype(np.int64) // 2, BUCKETS - 1)
-
-    def parts(self, ctx: np.ndarray, nxt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(estimate of each order, then 1/257; bucket of the longest context)."""
-        if not self.tables:
-            self._spread()
-        p = np.empty((len(nxt), ORDERS + 1))
-        p[:, ORDERS] = 1.0 / 257
-        for o in range(ORDERS):
-            p[:, o] = self.tables[o][ctx[:, o] * 257 + nxt]
-        return p, self.buckets[ctx[:, ORDERS - 1]]
-
-    def log10(self, words: list[bytes]) -> np.ndarray:
-        """log10 of the spelled probability of each word."""
-        out = np.zeros(len(words))
-        for a in range(0, len(words), 50_000):
-            part = words[a : a + 50_000]
-            ctx, nxt, word = symbols(part)
-            p, bucket = self.parts(ctx, nxt)
-            out[a : a + len(part)] = np.bincount(word, np.log10((p * self.weights[bucket]).sum(1)), len(part))
-        return out
-
-
-def frequent_words(training: DataFrame, sample_docs: int = SAMPLE_DOCS) -> list[bytes]:
-    """Words that make up a thousandth of the tokens of about `sample_docs` documents; at most a thousand."""
-    share = sample_docs / max(1, training.count())
+def tokens_of(text: str | None) -> list[bytes]:
+    return [*(text or "").encode("utf-8", "surrogatepass").lower().split(), b""]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in chunks(batches):
-            code, known = pd.factorize(np.array([w for t in texts for w in tokens_of(t)], object))
-            yield pa.RecordBatch.from_arrays([pa.array(list(known), pa.binary()), pa.array(np.bincount(code).astype(np.int64))], names=["word", "n"])
 
-    counted = training.where(hash_share(share, "text")).select("text").mapInArrow(run, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    least = (counted.agg(F.sum("n")).first()[0] or 0) * CONTEXT_SHARE
-    return sorted(bytes(r.word) for r in counted.where(F.col("n") >= max(1, math.ceil(least))).where("word <> X''").orderBy(F.desc("n")).limit(int(1 / CONTEXT_SHARE)).collect())
+def word_hashes(words: pa.Array) -> np.ndarray:
+    import xxhash
 
+    return np.fromiter(map(xxhash.xxh64_intdigest, words.to_pylist()), np.uint64, len(words))
 
-FIELDS = {"words": pa.binary(), "n": pa.int64(), "est": pa.binary(), "held": pa.binary(), "pair_word": pa.binary(), "pair_context": pa.binary(), "pair_est": pa.binary(), "pair_held": pa.binary()}
-DDL = "words binary, n bigint, est binary, held binary, pair_word binary, pair_context binary, pair_est binary, pair_held binary"
 
+def shifted(values: np.ndarray, first: np.ndarray, before) -> np.ndarray:
+    """The value at the token before each; at the first token of a text, `before`."""
+    out = np.empty_like(values)
+    out[1:] = values[:-1]
+    out[first] = before
+    return out
 
-def table_of(rows: list[tuple], **keys: pa.DataType) -> pa.Table:
-    kinds = {**keys, **FIELDS}
-    return pa.table([pa.array(c, t) for c, t in zip(zip(*rows), kinds.values())], names=list(kinds))
 
+def grams(token_hash: np.ndarray, first: np.ndarray, bits: int) -> Iterator[np.ndarray]:
+    """For orders two and up, the hash of the n-gram that ends at each token."""
+    gram = previous = token_hash
+    with np.errstate(over="ignore"):
+        for o in range(1, ORDER):
+            previous = shifted(previous, first, BEFORE)
+            gram = mix(previous * FACTORS[o] + gram)
+            yield gram >> np.uint64(64 - bits)
 
-def block_words(docs: DataFrame, blocks: int, buckets: int, frequent: list[bytes]) -> DataFrame:
-    """bucket, block and the packed distinct words of each block, with the contexts they stand in, and their counts in the two training parts."""
 
-    def run(table: pa.Table) -> pa.Table:
-        import zlib
-
-        part = np.asarray(table.column("part").fill_null(-1).to_numpy())
-        flat, owner = [], []
-        for text in table.column("text").to_pylist():
-            words = tokens_of(text)
-            flat += words
-            owner.append(len(words))
-        code, known = pd.factorize(np.array(flat, object))
-        del flat
-        number = {w: i + 1 for i, w in enumerate(frequent)}
-        width = len(frequent) + 1
-        first = np.repeat(np.cumsum([0, *owner[:-1]]), owner)
-        context = contexts_of(code, first, np.fromiter((number.get(w, 0) for w in known), np.int64, len(known)))
-        kind = np.repeat(part, owner)
-        bucket = np.fromiter((zlib.crc32(w) for w in known), np.int64, len(known)) % buckets
-        order = np.argsort(bucket, kind="stable")
-        place = np.empty(len(known), np.int64)
-        place[order] = np.arange(len(known))
-        pairs, at = np.unique(place[code] * width + context, return_inverse=True)
-        tally = [(np.bincount(code[kind == k], minlength=len(known))[order], np.bincount(at[kind == k], minlength=len(pairs))) for k in (0, 1)]
-        edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        name = table.column("block")[0].as_py()
-        rows = []
-        for k in range(buckets):
-            a, b = edges[k], edges[k + 1]
-            if a < b:
-                p, q = np.searchsorted(pairs, [a * width, b * width])
-                word_part = (pack([known[i] for i in order[a:b]]), int(b - a), squeeze(tally[0][0][a:b]), squeeze(tally[1][0][a:b]))
-                pair_part = (squeeze((pairs[p:q] // width - a).astype(np.int32)), squeeze((pairs[p:q] % width).astype(np.int16)), squeeze(tally[0][1][p:q].astype(np.int32)), squeeze(tally[1][1][p:q].astype(np.int32)))
-                rows.append((k, name, *word_part, *pair_part))
-        return table_of(rows, bucket=pa.int32(), block=pa.int32())
-
-    return docs.groupBy("block").applyInArrow(run, f"bucket int, block int, {DDL}")
-
-
-def lookup(sent: DataFrame, width: int) -> DataFrame:
-    """For each bucket one row of its vocabulary (block -1), and for each block its words and pairs with the training counts of the corpus."""
+def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted distinct values, how often each occurs)."""
+    values = np.sort(values)
+    at = np.flatnonzero(np.append(True, values[1:] != values[:-1]))
+    return values[at], np.diff(np.append(at, len(values)))
 
-    def run(table: pa.Table) -> pa.Table:
-        got = {c: table.column(c).to_pylist() for c in table.column_names}
-        lists = [unpack(w, n) for w, n in zip(got["words"], got["n"])]
-        starts = np.cumsum([0, *(len(x) for x in lists)])
-        code, known = pd.factorize(np.array([w for x in lists for w in x], object))
-        del lists
-        sums = lambda at, blobs, size, kind: np.bincount(at, np.concatenate([numbers(x, kind) for x in blobs]), size).astype(np.int64)
-        est, held = (sums(code, got[c], len(known), np.int64) for c in ("est", "held"))
-        keys = [code[s:][numbers(w, np.int32)] * width + numbers(c, np.int16) for s, w, c in zip(starts, got["pair_word"], got["pair_context"])]
-        pairs, at = np.unique(np.concatenate(keys), return_inverse=True)
-        pair_est, pair_held = (sums(at, got[c], len(pairs), np.int32) for c in ("pair_est", "pair_held"))
-        vocabulary = (pack(list(known)), len(known), squeeze(est), squeeze(held), squeeze((pairs // width).astype(np.int32)), squeeze((pairs % width).astype(np.int16)), squeeze(pair_est), squeeze(pair_held))
-        rows = [(-1, *vocabulary)]
-        both, pair_both, p = est + held, pair_est + pair_held, 0
-        for i, block in enumerate(got["block"]):
-            q = p + len(keys[i])
-            rows.append((block, got["words"][i], got["n"][i], squeeze(both[code[starts[i] : starts[i + 1]]]), None, got["pair_word"][i], got["pair_context"][i], squeeze(pair_both[at[p:q]]), None))
-            p = q
-        return table_of(rows, block=pa.int32())
-
-    return sent.groupBy("bucket").applyInArrow(run, f"block int, {DDL}")
-
-
-def vocabulary_rows(batch: pa.RecordBatch) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray]]:
-    for words, n, est, held in zip(*(batch.column(c).to_pylist() for c in ("words", "n", "est", "held"))):
-        yield unpack(words, n), numbers(est), numbers(held)
-
-
-def gram_counts(vocab: DataFrame) -> DataFrame:
-    """cell, est, full: n-gram cells of all orders, counted over the distinct words of the estimation part and of both."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for words, est, held in vocabulary_rows(batch):
-                for a in range(0, len(words), 100_000):
-                    ctx, nxt, word = symbols(words[a : a + 100_000])
-                    e = (est[a : a + 100_000] > 0)[word]
-                    h = (est[a : a + 100_000] + held[a : a + 100_000] > 0)[word]
-                    names, at = np.unique(np.concatenate([cell(ctx, nxt, o) for o in range(ORDERS)]), return_inverse=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (names, np.bincount(at, np.tile(e, ORDERS)).astype(np.int64), np.bincount(at, np.tile(h, ORDERS)).astype(np.int64))], names=["cell", "est", "full"])
+def ddl(id_type: str) -> str:
+    """Rows of the exchange: to a bucket (key >= 0) or the documents of a block (key < 0), with packed parts."""
+    return f"key bigint, block bigint, kind int, ids array<{id_type}>, parts array<binary>"
+
 
-    return vocab.select("words", "n", "est", "held").mapInArrow(run, "cell bigint, est bigint, full bigint").groupBy("cell").agg(F.sum("est").alias("est"), F.sum("full").alias("full")).where("full > 0")
+def batch_of(rows: list[tuple], id_type: pa.DataType) -> dict:
+    kinds = {"key": pa.int64(), "block": pa.int64(), "kind": pa.int32(), "ids": pa.list_(id_type), "parts": pa.list_(pa.binary())}
+    return {"arrays": [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * len(kinds), kinds.values())], "names": list(kinds)}
 
 
-def held_events(vocab: DataFrame) -> DataFrame:
-    """event (its contexts and next byte in one number), n: over the distinct held-out words that the estimation part lacks."""
+def block_rows(ids: pa.Array, texts: pa.Array, kind: int, block: int, buckets: int, bits: int) -> list[tuple]:
+    """The documents of a block as one row, and one request row for each bucket that has to do with it."""
+    words, code, per = tokenise(texts)
+    hashes = word_hashes(words)
+    rows = [(-1 - block, block, kind, ids.to_pylist(), [pack(per), pack(code), hashes.tobytes()])]
+    edges = np.array([((i << bits) + buckets - 1) // buckets for i in range(buckets + 1)], np.uint64)
+    top = hashes >> np.uint64(64 - bits)
+    order = np.argsort(top, kind="stable")
+    words, times = words.take(pa.array(order)), np.bincount(code, minlength=len(words))[order]
+    tables = [(top[order], times), *map(distinct, grams(hashes[code], np.cumsum(per) - per, bits))]
+    spans = [np.searchsorted(keys, edges) for keys, _ in tables]
+    for k in range(buckets):
+        if all(s[k] == s[k + 1] for s in spans):
+            continue
+        a, b = spans[0][k : k + 2]
+        parts = [*pack_strings(words[a:b])]
+        for o, ((keys, n), s) in enumerate(zip(tables, spans)):
+            a, b = s[k : k + 2]
+            parts += [pack_sorted(keys[a:b])] if o else []
+            parts.append(pack(n[a:b]) if kind != SCORED else b"")
+        rows.append((k, block, kind, None, parts))
+    return rows
+
+
+def requests(src: DataFrame, buckets: int, bits: int) -> DataFrame:
+    id_type = src.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for words, est, held in vocabulary_rows(batch):
-                at = np.flatnonzero((held > 0) & (est == 0))
-                for a in range(0, len(at), 100_000):
-                    some = at[a : a + 100_000]
-                    ctx, nxt, word = symbols([words[i] for i in some])
-                    key = ((ctx[:, 3] * SLOTS + ctx[:, 2]) * 258 + ctx[:, 1]) * 257 + nxt
-                    names, inverse = np.unique(key, return_inverse=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(np.bincount(inverse).astype(np.int64))], names=["event", "n"])
+        number = map(((TaskContext.get().partitionId()) << 24).__add__, count())
+        waiting: dict[int, list] = {ESTIMATION: [], HELD: [], SCORED: []}
+        sizes = dict.fromkeys(waiting, 0)
+
+        def flush(kind: int) -> pa.RecordBatch:
+            ids, texts = (pa.concat_arrays([b.column(c) for b in waiting[kind]]) for c in ("doc_id", "text"))
+            waiting[kind], sizes[kind] = [], 0
+            return pa.RecordBatch.from_arrays(**batch_of(block_rows(ids, texts, kind, next(number), buckets, bits), ids.type))
 
-    return vocab.select("words", "n", "est", "held").mapInArrow(run, "event bigint, n bigint").groupBy("event").agg(F.sum("n").alias("n"))
+        for cut in cuts(batches):
+            for kind in waiting:
+                some = cut.filter(pc.equal(cut.column("kind"), kind))
+                if some.num_rows:
+                    waiting[kind].append(some)
+                    sizes[kind] += pc.sum(pc.binary_length(some.column("text"))).as_py() or 0
+                    if sizes[kind] >= BLOCK_CHARS:
+                        yield flush(kind)
+        yield from (flush(kind) for kind in waiting if waiting[kind])
 
+    return src.select("doc_id", "text", "kind").mapInArrow(run, ddl(id_type))
 
-def maximise(rows: DataFrame, parts, weights: np.ndarray) -> np.ndarray:
-    """Expectation-maximisation of weights (bucket x part); parts(batch) gives (p, bucket, n) arrays; sums of a task come back, nothing else."""
+
+def answers(sent: DataFrame) -> DataFrame:
+    """For each request the counts in all training documents, and for those of held-out blocks also the counts in the estimation part; document rows as they are.
+
+    Each bucket adds one row without a block: tokens and ends in both parts, and distinct words.
+    """
+    schema = sent.schema
+
+    def run(table: pa.Table) -> pa.Table:
+        key = table.column("key")[0].as_py()
+        if key < 0:
+            return table
+        blocks, kinds, asked = (table.column(c).to_pylist() for c in ("block", "kind", "parts"))
+        replies: list[list] = [[] for _ in blocks]
+        estimates: list[list] = [[] for _ in blocks]
+        stats: list[int] = []
+        for o in range(ORDER):
+            if o == 0:
+                lists = [strings(unpack(p[0]), expand(p[1])) for p in asked]
+                coded = pa.concat_arrays(lists).dictionary_encode()
+                at, size = coded.indices.to_numpy(zero_copy_only=False), len(coded.dictionary)
+            else:
+                lists = [unpack_sorted(p[1 + 2 * o]) for p in asked]
+                known, at = np.unique(np.concatenate(lists), return_inverse=True)
+                size = len(known)
+            ends = np.cumsum([0, *map(len, lists)])
+            both, est = np.zeros(size, np.int64), np.zeros(size, np.int64)
+            for i, p in enumerate(asked):
+                if kinds[i] != SCORED and ends[i] < ends[i + 1]:  # an entry is there once in a request
+                    (est if kinds[i] == ESTIMATION else both)[at[ends[i] : ends[i + 1]]] += unpack(p[2 + 2 * o]).astype(np.int64)
+            both += est
+            for i, kind in enumerate(kinds):
+                some = at[ends[i] : ends[i + 1]]
+                replies[i].append(pack(both[some]))
+                estimates[i] += [pack(est[some])] if kind == HELD else []
+            if o == 0:
+                end = pc.index(coded.dictionary, pa.scalar(b"", pa.binary())).as_py()
+                stats = [int(est.sum()), int(both.sum()), int(est[end]) if end >= 0 else 0, int(both[end]) if end >= 0 else 0, int((both > 0).sum())]
+        rows = [(key, b, k, None, r + e) for b, k, r, e in zip(blocks, kinds, replies, estimates)]
+        rows.append((key, None, None, None, [np.array(stats, np.int64).tobytes()]))
+        return pa.Table.from_arrays(**batch_of(rows, table.schema.field("ids").type.value_type))
+
+    return sent.groupBy("key").applyInArrow(run, schema)
+
+
+class Block:
+    """A block's documents with the counts of their tokens and n-grams: ids, tokens of each text, counts by order."""
+
+    def __init__(self, table: pa.Table, bits: int, estimation: bool = False):
+        rows = table.select(["key", "parts"]).take(pc.sort_indices(table.column("key"))).column("parts").to_pylist()
+        at = pc.index(pc.less(table.column("key"), 0), True).as_py()
+        self.ids, self.kind = table.column("ids").combine_chunks()[at].values, table.column("kind")[at].as_py()
+        self.per, code, hashes = unpack(rows[0][0]).astype(np.int64), unpack(rows[0][1]), np.frombuffer(rows[0][2], np.uint64)
+        self.first = np.cumsum(self.per) - self.per
+        skip = ORDER if estimation else 0
+        found = [np.concatenate([unpack(p[o + skip]).astype(np.int64) for p in rows[1:]]) for o in range(ORDER)]
+        order = np.argsort(hashes >> np.uint64(64 - bits), kind="stable")
+        of_word = np.empty(len(order), np.int64)
+        of_word[order] = found[0]
+        self.counts = [of_word[code]]
+        for gram, n in zip(grams(hashes[code], self.first, bits), found[1:]):
+            self.counts.append(n[np.unique(gram, return_inverse=True)[1]])
+
+    def estimates(self, tokens: int, texts: int) -> tuple[np.ndarray, np.ndarray]:
+        """(maximum-likelihood estimates, longest first, then 1 for an unknown word; bucket of the contexts)."""
+        contexts = [shifted(c, self.first, texts) for c in self.counts[:-1]]
+        p = np.empty((len(self.counts[0]), ORDER + 1))
+        for o in range(1, ORDER):
+            p[:, ORDER - 1 - o] = self.counts[o] / np.maximum(contexts[o - 1], 1)
+        p[:, ORDER - 1] = self.counts[0] / max(tokens, 1)
+        p[:, ORDER] = self.counts[0] == 0
+        bucket = np.zeros(len(p), np.int64)
+        for c in contexts:
+            bucket = bucket * LEVELS + level(c)
+        return p, bucket
+
+    def by_text(self, values: np.ndarray) -> pa.Array:
+        return pa.array(np.add.reduceat(values, self.first))
+
+
+def level(counts: np.ndarray) -> np.ndarray:
+    """Frequency bucket of a context: 0, 1, 2, 3-4, 5-8, and so on."""
+    return np.where(counts > 0, np.minimum(1 + np.ceil(np.log2(np.maximum(counts, 1))).astype(np.int64), LEVELS - 1), 0)
+
+
+def allowed() -> np.ndarray:
+    """Which estimates each bucket may use: none of a context that was never seen."""
+    out = np.ones((LEVELS ** (ORDER - 1), ORDER + 1))
+    rest = np.arange(len(out))
+    for o in range(ORDER - 1, 0, -1):
+        out[rest % LEVELS == 0, ORDER - 1 - o] = 0
+        rest = rest // LEVELS
+    return out
+
+
+def maximise(events: DataFrame) -> np.ndarray:
+    """Mixture weights by bucket (rows of 1), from expectation-maximisation on rows of packed events; sums of a task come back, nothing else.
+
+    A bucket with few events leans on the weights of all buckets, by EM_PRIOR events.
+    """
+    may = allowed()
+    weights = may / may.sum(1, keepdims=True)
     for _ in range(EM_ROUNDS):
         now = weights
 
         def step(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
             uses = np.zeros_like(now)
             for batch in batches:
-                for p, bucket, n in parts(batch):
-                    joint = p * now[bucket]
-                    share = joint / np.maximum(joint.sum(1), 1e-300)[:, None] * n[:, None]
-                    for k in range(now.shape[1]):
-                        uses[:, k] += np.bincount(bucket, share[:, k], len(now))
-            yield pa.RecordBatch.from_arrays([pa.array([uses.tobytes()])], names=["uses"])
-
-        got = rows.mapInArrow(step, "uses binary").collect()
-        uses = sum((np.frombuffer(r.uses).reshape(now.shape) for r in got), np.zeros_like(now)) + 1e-3
+                for p, bucket in zip(batch.column("p").to_pylist(), batch.column("bucket").to_pylist()):
+                    at = unpack(bucket).astype(np.int64)
+                    joint = np.frombuffer(expand(p), np.float32).reshape(-1, ORDER + 1) * now[at]
+                    share = joint / np.maximum(joint.sum(1), 1e-300)[:, None]
+                    for k in range(ORDER + 1):
+                        uses[:, k] += np.bincount(at, share[:, k], len(now))
+            yield pa.RecordBatch.from_arrays([pa.array([uses.tobytes()], pa.binary())], names=["uses"])
+
+        got = events.mapInArrow(step, "uses binary").collect()
+        uses = sum((np.frombuffer(r.uses).reshape(now.shape) for r in got), np.zeros_like(now))
+        pooled = (uses.sum(0) + 1e-3) / (uses.sum() + 1e-3 * (ORDER + 1))
+        uses = (uses + EM_PRIOR * pooled) * may
         weights = uses / uses.sum(1, keepdims=True)
-        if np.abs(weights - now).max() < 2e-3:
+        if np.abs(weights - now).max() < EM_CLOSE:
             break
     return weights
 
 
-def learn_speller(vocab: DataFrame) -> Speller:
-    """The speller of all training words, with weights fitted on new words of the held-out part."""
-    grams = gram_counts(vocab).toPandas()  # at most 2 * SLOTS * 257 cells and a few, whatever the corpus
-    cells = grams["cell"].to_numpy()
-    draft = Speller(cells, grams["est"].to_numpy())
-
-    def parts(batch: pa.RecordBatch):
-        e, n = batch.column("event").to_numpy(), batch.column("n").to_numpy().astype(float)
-        if len(n):
-            nxt, e = e % 257, e // 257
-            c1, e = e % 258, e // 258
-            yield *draft.parts(np.column_stack([np.zeros(len(n), np.int64), c1, e % SLOTS, e // SLOTS]), nxt), n
-
-    draft.weights = maximise(written(held_events(vocab), "held-events"), parts, draft.weights)
-    return Speller(cells, grams["full"].to_numpy(), draft.weights)
-
-
-def frequency_bucket(total: np.ndarray) -> np.ndarray:
-    return np.minimum(np.log2(np.asarray(total, float) + 1).astype(np.int64) // 3, BUCKETS - 1)
-
-
-def totals(vocab: DataFrame, width: int) -> tuple[np.ndarray, int, int, int]:
-    """(counts of each context in the estimation part and in both: 2 x width; tokens in each; distinct tokens)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = np.zeros((2, width), np.int64)
-        n = v = 0
-        for batch in batches:
-            for e, h, c, pe, ph in zip(*(batch.column(x).to_pylist() for x in ("est", "held", "pair_context", "pair_est", "pair_held"))):
-                ctx, est, held = numbers(c, np.int16).astype(np.int64), numbers(pe), numbers(ph)
-                out[0] += np.bincount(ctx, est, width).astype(np.int64)
-                out[1] += np.bincount(ctx, est + held, width).astype(np.int64)
-                both = numbers(e) + numbers(h)
-                n, v = n + int(both.sum()), v + int((both > 0).sum())
-        yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()]), pa.array([n]), pa.array([v])], names=["c", "n", "v"])
-
-    got = vocab.select("est", "held", "pair_context", "pair_est", "pair_held").mapInArrow(run, "c binary, n bigint, v bigint").collect()
-    counts = sum((np.frombuffer(r.c, np.int64).reshape(2, width) for r in got), np.zeros((2, width), np.int64))
-    return counts, int(counts[0].sum()), sum(r.n for r in got), sum(r.v for r in got)
-
-
-def learn_mix(vocab: DataFrame, context_est: np.ndarray, n_est: int) -> np.ndarray:
-    """Weights (bucket x pair, word, unknown) on the held-out pairs."""
-    buckets = frequency_bucket(context_est)
-
-    def events(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for est, *pair in zip(*(batch.column(x).to_pylist() for x in ("est", "pair_word", "pair_context", "pair_est", "pair_held"))):
-                held = numbers(pair[3])
-                at = np.flatnonzero(held)
-                word, ctx, both = numbers(pair[0], np.int32)[at], numbers(pair[1], np.int16)[at].astype(np.int64), numbers(pair[2])[at]
-                single = numbers(est)[word]
-                p = np.column_stack([both / np.maximum(context_est[ctx], 1), single / max(1, n_est), single == 0])
-                yield pa.RecordBatch.from_arrays([pa.array([squeeze(p)]), pa.array([squeeze(buckets[ctx])]), pa.array([squeeze(held[at])])], names=["p", "bucket", "n"])
-
-    def parts(batch: pa.RecordBatch):
-        for p, bucket, n in zip(*(batch.column(x).to_pylist() for x in ("p", "bucket", "n"))):
-            yield numbers(p, np.float64).reshape(-1, 3), numbers(bucket), numbers(n).astype(float)
-
-    rows = written(vocab.select("est", "pair_word", "pair_context", "pair_est", "pair_held").mapInArrow(events, "p binary, bucket binary, n binary"), "held-pairs")
-    return maximise(rows, parts, np.full((BUCKETS, 3), 1 / 3))
-
-
 def score_documents(docs: DataFrame, folds: int = 5, held_out_fold: int = 1) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, open_score: one row per document."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, per_token (score by token): one row per document."""
     fold = fold_of(F.col("doc_id"), folds)
-    text = F.col("text").cast("string")
-    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    chars = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
     cores = docs.sparkSession.sparkContext.defaultParallelism
-    spread = lambda size: max(1, math.ceil(chars / size), min(2 * cores, math.ceil(chars / LEAST_CHARS)))  # noqa: E731  small inputs still use all cores
-    blocks, buckets = spread(BLOCK_CHARS), spread(BUCKET_CHARS)
-    part = F.when(fold.isNull() | (fold == held_out_fold), F.lit(-1)).when(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("em")), F.lit(5)) == 0, F.lit(1)).otherwise(F.lit(0))
-    src = docs.select(F.col("doc_id"), text.alias("text"), F.coalesce(fold == held_out_fold, F.lit(False)).alias("held_out"), part.cast("int").alias("part"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block"))
-    frequent = frequent_words(src.where("part >= 0").select("text"))
-    width = len(frequent) + 1
-    found = written(lookup(block_words(src.select("text", "part", "block"), blocks, buckets, frequent), width), "lookup")
-    vocab = found.where("block = -1")
-    contexts, n_est, big_n, big_v = totals(vocab, width)
-    speller = learn_speller(vocab)
-    mix = learn_mix(vocab, contexts[0], n_est)
-    context_n = contexts[1]
-    context_mix = mix[frequency_bucket(context_n)]
-    model = docs.sparkSession.sparkContext.broadcast(speller)  # bounded by SLOTS
-
-    def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        words, counts, pair_keys, pair_counts = [], [], [], []
-        for w, n, est, pw, pc, pe in zip(*(right.column(c).to_pylist() for c in ("words", "n", "est", "pair_word", "pair_context", "pair_est"))):
-            pair_keys.append((numbers(pw, np.int32).astype(np.int64) + len(words)) * width + numbers(pc, np.int16))
-            pair_counts.append(numbers(pe))
-            words += unpack(w, n)
-            counts.append(numbers(est))
-        at = {w: i for i, w in enumerate(words)}
-        count = np.concatenate(counts) if counts else np.zeros(0, np.int64)
-        keys, values = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (pair_keys, pair_counts))
-        number = {w: i + 1 for i, w in enumerate(frequent)}
-        context = np.fromiter((number.get(w, 0) for w in words), np.int64, len(words))
-        base = np.log10((count + 0.5) / (big_n + 0.5 * (big_v + 1)))
-        unigram, unknown = count / max(1, big_n), count == 0
-        spelled = np.zeros(len(words))
-        new = np.flatnonzero(unknown)
-        spelled[new] = model.value.log10([words[i] for i in new])
-        out = []
-        for text in left.column("text").to_pylist():
-            i = np.fromiter(map(at.__getitem__, tokens_of(text)), np.int64)
-            h = contexts_of(i, np.zeros(len(i), np.int64), context)
-            seen = values[np.searchsorted(keys, i * width + h)]
-            p = (np.column_stack([seen / np.maximum(context_n[h], 1), unigram[i], unknown[i]]) * context_mix[h]).sum(1)
-            total = float(np.log10(p).sum())
-            out.append((len(i), int((~unknown[i]).sum()), float(base[i].sum()), total, total + float(spelled[i].sum())))
-        n, k, b, s, o = zip(*out) if out else ((),) * 5
+    buckets = max(1, math.ceil(chars / BUCKET_CHARS), min(2 * cores, math.ceil(chars / LEAST_CHARS)))  # small inputs still use all cores
+    bits = min(62, max(chars, 1).bit_length() + 20)
+    held = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("em")), F.lit(HELD_ONE_IN)) == 0
+    kind = F.when(fold.isNull() | (fold == held_out_fold), SCORED).when(held, HELD).otherwise(ESTIMATION)
+    src = docs.select("doc_id", F.col("text").cast("string").alias("text"), kind.cast("int").alias("kind"))
+    found = written(answers(requests(src, buckets, bits)), "counts")
+    stats = [np.frombuffer(r.parts[0], np.int64) for r in found.where("block is null").select("parts").collect()]  # five numbers a bucket
+    n_est, n, texts_est, texts, v = (int(x) for x in sum(stats, np.zeros(5, np.int64)))
+    blocks = found.where("block is not null")
+
+    def events(table: pa.Table) -> pa.Table:
+        p, bucket = Block(table, bits, estimation=True).estimates(n_est, texts_est)
+        return pa.table({"p": pa.array([squeeze(p.astype(np.float32).tobytes())], pa.binary()), "bucket": pa.array([pack(bucket)], pa.binary())})
+
+    weights = maximise(written(blocks.where(F.col("kind") == HELD).groupBy("block").applyInArrow(events, "p binary, bucket binary"), "events"))
+    if not n:
+        weights = np.eye(ORDER + 1)[np.full(len(weights), ORDER)]
+
+    def score(table: pa.Table) -> pa.Table:
+        block = Block(table, bits)
+        p, bucket = block.estimates(n, texts)
+        base = block.by_text(np.log10((block.counts[0] + 0.5) / (n + 0.5 * (v + 1))))
+        total = block.by_text(np.log10((p * weights[bucket]).sum(1)))
+        known = block.by_text((block.counts[0] > 0).astype(np.int64))
+        held_out = pc.and_(pc.is_valid(block.ids), block.kind == SCORED)
         return pa.table(
-            [left.column("doc_id"), left.column("held_out"), pa.array(n, pa.int64()), pa.array(k, pa.int64()), pa.array([big_n] * len(n), pa.int64()), *(pa.array(x, pa.float64()) for x in (b, s, o))],
-            names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "open_score"],
+            [block.ids, held_out, pa.array(block.per), known, pa.array([n] * len(block.per), pa.int64()), base, total, pc.divide(total, block.per)],
+            names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "per_token"],
         )
 
     id_type = src.schema["doc_id"].dataType.simpleString()
-    left = src.select("doc_id", "text", "held_out", "block").groupBy("block")
-    right = found.where("block >= 0").select("block", "words", "n", "est", "pair_word", "pair_context", "pair_est").groupBy("block")
-    return left.cogroup(right).applyInArrow(score, f"doc_id {id_type}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, open_score double")
+    return blocks.groupBy("block").applyInArrow(score, f"doc_id {id_type}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, per_token double")
 
 
 def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,20 +42,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import chunks, written
+from codeloom.llm.common import chunks, mix, written
 
 SHINGLE_WORDS, PERCENT = 5, 80
 COORDS, DEPTH, WIDTH, LEAF = 128, 2, 2, 256
 FIRST_TREES, MISS = 4, 3.3e-5
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """A bijective scrambling of 64-bit numbers."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 with np.errstate(over="ignore"):
     MULTIPLY = mix(np.arange(1, COORDS + 1, dtype=np.uint64)) | np.uint64(1)
     ADD = mix(np.arange(1001, COORDS + 1001, dtype=np.uint64))

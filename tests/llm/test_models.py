@@ -59,22 +59,85 @@ def test_toxicity_documents(spark, docs, empty):
     assert out.count() == 11 and out.where("score between 0 and 1 and predicted = 0").count() == 11 and toxicity.score_documents(empty, scorer).count() == 0
 
 
-def test_spelled_probabilities_sum_to_one():
-    words = [b"ab", b"abc", b"b", b""]
-    ctx, nxt, word = language_model.symbols(words)
-    cells = np.concatenate([language_model.cell(ctx, nxt, o) for o in range(language_model.ORDERS)])
-    names, counts = np.unique(cells, return_counts=True)
-    s = language_model.Speller(names, counts)
-    seen = ctx[:1].repeat(257, 0)
-    p, bucket = s.parts(seen, np.arange(257))
-    assert math.isclose((p * s.weights[bucket]).sum(), 1, rel_tol=1e-5)
-    assert s.log10([b"abc"])[0] > s.log10([b"zzz"])[0]
-
-
-def test_contexts():
-    code, context = np.array([0, 1, 2, 1, 0, 2]), np.array([0, 5, 0])
-    first = np.array([0, 0, 0, 3, 3, 3])
-    assert language_model.contexts_of(code, first, context).tolist() == [0, 0, 5, 0, 5, 5]
+def brute_force_scores(rows):
+    """Counts in dictionaries, the same split and mixture, expectation-maximisation token by token: id -> score, and the probability of any word after a context."""
+    lm = language_model
+    kind = {r.doc_id: r.kind for r in rows}
+    marked = {r.doc_id: [None, None, *lm.tokens_of(r.text)] for r in rows}
+
+    def tables(kinds):
+        out = [Counter(), Counter(), Counter()]
+        for i, t in marked.items():
+            if kind[i] in kinds:
+                for o in range(3):
+                    out[o].update(tuple(t[k - o : k + 1]) for k in range(2, len(t)))
+        out[0][(None,)] = out[1][(None, None)] = sum(k in kinds for k in kind.values())
+        return out, sum(n for (w,), n in out[0].items() if w is not None)
+
+    def level(c):
+        return min(1 + math.ceil(math.log2(c)), lm.LEVELS - 1) if c else 0
+
+    def estimates(made, u, v, w):
+        (one, two, three), n = made
+        p = [three[u, v, w] / max(1, two[u, v]), two[v, w] / max(1, one[v,]), one[w,] / n, float(one[w,] == 0)]
+        return level(one[v,]) * lm.LEVELS + level(two[u, v]), p
+
+    part, every = tables({lm.ESTIMATION}), tables({lm.ESTIMATION, lm.HELD})
+    events = [estimates(part, *t[k - 2 : k + 1]) for i, t in marked.items() if kind[i] == lm.HELD for k in range(2, len(t))]
+    may = lm.allowed()
+    weights = may / may.sum(1, keepdims=True)
+    for _ in range(lm.EM_ROUNDS):
+        uses = np.zeros_like(weights)
+        for b, p in events:
+            joint = np.array(p) * weights[b]
+            uses[b] += joint / joint.sum()
+        pooled = (uses.sum(0) + 1e-3) / (uses.sum() + 4e-3)
+        uses = (uses + lm.EM_PRIOR * pooled) * may
+        now, weights = weights, uses / uses.sum(1, keepdims=True)
+        if np.abs(weights - now).max() < lm.EM_CLOSE:
+            break
+
+    def chance(u, v, w):
+        b, p = estimates(every, u, v, w)
+        return float(weights[b] @ p)
+
+    return {i: sum(math.log10(chance(*t[k - 2 : k + 1])) for k in range(2, len(t))) for i, t in marked.items()}, chance, [w for (w,) in every[0][0] if w is not None]
+
+
+def test_language_model_equals_brute_force(spark, monkeypatch):
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("length(text) < 6000").select("doc_id", "text")
+    df = df.unionByName(spark.createDataFrame([(10**6 + i, "a b a b\n A B " + "c" * (i % 3)) for i in range(60)], df.schema))
+    fold = language_model.fold_of(F.col("doc_id"), 5)
+    held = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("em")), F.lit(language_model.HELD_ONE_IN)) == 0
+    rows = df.withColumn("kind", F.when(fold == 1, language_model.SCORED).when(held, language_model.HELD).otherwise(language_model.ESTIMATION)).collect()
+    assert len({r.kind for r in rows}) == 3
+    want, chance, vocabulary = brute_force_scores(rows)
+    for context in ((None, None), (None, b"a"), (b"a", b"b"), (b"zz", b"a"), (b"zz", b"zz")):
+        assert math.isclose(sum(chance(*context, w) for w in [*vocabulary, b"zz"]), 1, rel_tol=1e-9)  # "zz" stands for all unknown words
+    for limits in ({}, {"BLOCK_CHARS": 20_000, "BUCKET_CHARS": 40_000, "LEAST_CHARS": 40_000}):
+        for name, value in limits.items():
+            monkeypatch.setattr(language_model, name, value)
+        got = language_model.score_documents(df).collect()
+        assert {r.doc_id for r in got} == set(want) and all(math.isclose(r.score, want[r.doc_id], rel_tol=1e-4) for r in got)
+        assert all(math.isclose(r.per_token * r.n_tokens, r.score) for r in got)
+
+
+def test_tokenise():
+    import pyarrow as pa
+
+    texts = ["One two\n\x0bONE", None, "", "x", " \t", "y\u00a0z \u00c9", "x" * 70_000]
+    words, code, per = language_model.tokenise(pa.array(["no", *texts])[1:])
+    known = words.to_pylist()
+    split = [language_model.tokens_of(t) for t in texts]
+    assert [known[i] for i in code] == [w for t in split for w in t] and per.tolist() == [len(t) for t in split] and len(set(known)) == len(known)
+
+
+def test_packing():
+    rng = np.random.default_rng(1)
+    for a in (np.zeros(0, np.uint64), np.array([0]), np.array([3, 300, 70_000]), rng.integers(0, 1 << 62, 1000)):
+        assert language_model.unpack(language_model.pack(a)).tolist() == a.tolist()
+        s = np.sort(a).astype(np.uint64)
+        assert language_model.unpack_sorted(language_model.pack_sorted(s)).tolist() == s.tolist()
 
 
 def test_language_model_base(spark, docs):
@@ -102,8 +165,10 @@ def test_language_model_base(spark, docs):
     assert score > base
 
 
-def test_language_model_empty(empty):
+def test_language_model_empty(spark, empty):
     assert language_model.score_documents(empty).count() == 0
+    alone = language_model.score_documents(spark.createDataFrame([(None, "never trained on"), (None, None)], "doc_id bigint, text string")).collect()
+    assert sorted((r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score, r.held_out) for r in alone) == [(1, 0, 0, 0, 0, False), (4, 0, 0, 0, 0, False)]
 
 
 def test_language_held_out(spark, docs, empty):
