@@ -15,9 +15,9 @@ the text is read once and never shuffled, a shuffled entry is a distinct n-gram
 a block, and no word or context makes a hot key: n-grams are dealt by their own hash,
 not by their context's.
 
-Words are compared as they are.  N-grams are told apart by hashes that have twenty bits
-more than the number of characters has, so an unseen one is taken for another with a
-probability below one in a million at any size up to 4 TB (62 bits at most).
+Words are compared as they are.  N-grams are told apart by hashes with `SPARE_BITS` more
+bits than the number of characters has, so an unseen one is taken for another with a
+probability of about 4e-6, the same at any size up to 70 TB (62 bits at most).
 
 Null and empty texts consist of the end alone.  Null ids: scored, never trained on.
 Rows that repeat an id count each time.  Without training tokens every word is unknown.
@@ -40,7 +40,8 @@ from pyspark.sql import functions as F
 from codeloom.llm.common import cuts, fold_of, mix, written
 
 ORDER = 3
-BLOCK_CHARS, BUCKET_CHARS, LEAST_CHARS = 16_000_000, 12_000_000, 2_000_000
+BLOCK_CHARS, BUCKET_CHARS, LEAST_CHARS = 12_000_000, 12_000_000, 2_000_000
+SPARE_BITS, SLICE, ROWS = 16, 1 << 18, 16
 ESTIMATION, HELD, SCORED = 0, 1, 2
 HELD_ONE_IN = 20
 EM_ROUNDS, EM_CLOSE, EM_PRIOR = 15, 2e-3, 1.0
@@ -94,7 +95,7 @@ def pack_strings(words: pa.Array) -> list[bytes]:
 
 
 def tokenise(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """(distinct words, commonest first; the number of each token's word; tokens of each text), the end being the empty word."""
+    """(distinct words; the number of each token's word; tokens of each text), the end being the empty word."""
     col = pc.fill_null(texts, "").cast(pa.large_binary())
     edges = np.frombuffer(col.buffers()[1], np.int64)[col.offset : col.offset + len(col) + 1] if len(col) else np.zeros(1, np.int64)
     data = col.buffers()[2]
@@ -109,25 +110,21 @@ def tokenise(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     words = strings(lengths, low[inside].tobytes()).dictionary_encode()
     per = np.diff(np.searchsorted(np.flatnonzero(start), edges)) + 1
     ends = np.cumsum(per) - 1
-    code = np.full(len(lengths) + len(per), len(words.dictionary), np.int64)
+    code = np.full(len(lengths) + len(per), len(words.dictionary), np.int32)
     word = np.ones(len(code), bool)
     word[ends] = False
     code[word] = words.indices.to_numpy(zero_copy_only=False)
-    known = pa.concat_arrays([words.dictionary, pa.array([b""], pa.binary())])
-    order = np.argsort(-np.bincount(code, minlength=len(known)), kind="stable")
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
-    return known.take(pa.array(order)), rank[code], per
+    return pa.concat_arrays([words.dictionary, pa.array([b""], pa.binary())]), code, per
 
 
 def tokens_of(text: str | None) -> list[bytes]:
     return [*(text or "").encode("utf-8", "surrogatepass").lower().split(), b""]
 
 
-def word_hashes(words: pa.Array) -> np.ndarray:
+def word_hashes(words: pa.Array, bits: int) -> np.ndarray:
     import xxhash
 
-    return np.fromiter(map(xxhash.xxh64_intdigest, words.to_pylist()), np.uint64, len(words))
+    return np.fromiter(map(xxhash.xxh64_intdigest, words.to_pylist()), np.uint64, len(words)) >> np.uint64(64 - bits)
 
 
 def shifted(values: np.ndarray, first: np.ndarray, before) -> np.ndarray:
@@ -155,6 +152,15 @@ def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return values[at], np.diff(np.append(at, len(values)))
 
 
+def spread(values: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """For each value what was found for it; found: by sorted distinct values."""
+    order = np.argsort(values)
+    out = np.empty(len(values), found.dtype)
+    values = values[order]
+    out[order] = found[np.cumsum(np.append(False, values[1:] != values[:-1]))]
+    return out
+
+
 def ddl(id_type: str) -> str:
     """Rows of the exchange: to a bucket (key >= 0) or the documents of a block (key < 0), with packed parts."""
     return f"key bigint, block bigint, kind int, ids array<{id_type}>, parts array<binary>"
@@ -168,13 +174,15 @@ def batch_of(rows: list[tuple], id_type: pa.DataType) -> dict:
 def block_rows(ids: pa.Array, texts: pa.Array, kind: int, block: int, buckets: int, bits: int) -> list[tuple]:
     """The documents of a block as one row, and one request row for each bucket that has to do with it."""
     words, code, per = tokenise(texts)
-    hashes = word_hashes(words)
-    rows = [(-1 - block, block, kind, ids.to_pylist(), [pack(per), pack(code), hashes.tobytes()])]
+    hashes, times = word_hashes(words, bits), np.bincount(code, minlength=len(words))
+    common = np.lexsort((hashes, -times))  # small numbers for common words, and sorted runs of hashes: both pack well
+    rank = np.empty(len(common), np.int32)
+    rank[common] = np.arange(len(common))
+    rows = [(-1 - block, block, kind, ids.to_pylist(), [pack(per), pack(rank[code]), pack_sorted(hashes[common])])]
     edges = np.array([((i << bits) + buckets - 1) // buckets for i in range(buckets + 1)], np.uint64)
-    top = hashes >> np.uint64(64 - bits)
-    order = np.argsort(top, kind="stable")
-    words, times = words.take(pa.array(order)), np.bincount(code, minlength=len(words))[order]
-    tables = [(top[order], times), *map(distinct, grams(hashes[code], np.cumsum(per) - per, bits))]
+    order = common[np.argsort(hashes[common], kind="stable")]  # as the block will see them, equal hashes too
+    tables = [(hashes[order], times[order]), *map(distinct, grams(hashes[code], np.cumsum(per) - per, bits))]
+    words = words.take(pa.array(order))
     spans = [np.searchsorted(keys, edges) for keys, _ in tables]
     for k in range(buckets):
         if all(s[k] == s[k + 1] for s in spans):
@@ -197,10 +205,12 @@ def requests(src: DataFrame, buckets: int, bits: int) -> DataFrame:
         waiting: dict[int, list] = {ESTIMATION: [], HELD: [], SCORED: []}
         sizes = dict.fromkeys(waiting, 0)
 
-        def flush(kind: int) -> pa.RecordBatch:
+        def flush(kind: int) -> Iterator[pa.RecordBatch]:
             ids, texts = (pa.concat_arrays([b.column(c) for b in waiting[kind]]) for c in ("doc_id", "text"))
             waiting[kind], sizes[kind] = [], 0
-            return pa.RecordBatch.from_arrays(**batch_of(block_rows(ids, texts, kind, next(number), buckets, bits), ids.type))
+            rows = block_rows(ids, texts, kind, next(number), buckets, bits)
+            for a in range(0, len(rows), ROWS):
+                yield pa.RecordBatch.from_arrays(**batch_of(rows[a : a + ROWS], ids.type))
 
         for cut in cuts(batches):
             for kind in waiting:
@@ -209,8 +219,10 @@ def requests(src: DataFrame, buckets: int, bits: int) -> DataFrame:
                     waiting[kind].append(some)
                     sizes[kind] += pc.sum(pc.binary_length(some.column("text"))).as_py() or 0
                     if sizes[kind] >= BLOCK_CHARS:
-                        yield flush(kind)
-        yield from (flush(kind) for kind in waiting if waiting[kind])
+                        yield from flush(kind)
+        for kind in waiting:
+            if waiting[kind]:
+                yield from flush(kind)
 
     return src.select("doc_id", "text", "kind").mapInArrow(run, ddl(id_type))
 
@@ -266,29 +278,28 @@ class Block:
         rows = table.select(["key", "parts"]).take(pc.sort_indices(table.column("key"))).column("parts").to_pylist()
         at = pc.index(pc.less(table.column("key"), 0), True).as_py()
         self.ids, self.kind = table.column("ids").combine_chunks()[at].values, table.column("kind")[at].as_py()
-        self.per, code, hashes = unpack(rows[0][0]).astype(np.int64), unpack(rows[0][1]), np.frombuffer(rows[0][2], np.uint64)
+        self.per, code, hashes = unpack(rows[0][0]).astype(np.int64), unpack(rows[0][1]), unpack_sorted(rows[0][2])
         self.first = np.cumsum(self.per) - self.per
         skip = ORDER if estimation else 0
-        found = [np.concatenate([unpack(p[o + skip]).astype(np.int64) for p in rows[1:]]) for o in range(ORDER)]
-        order = np.argsort(hashes >> np.uint64(64 - bits), kind="stable")
-        of_word = np.empty(len(order), np.int64)
-        of_word[order] = found[0]
-        self.counts = [of_word[code]]
-        for gram, n in zip(grams(hashes[code], self.first, bits), found[1:]):
-            self.counts.append(n[np.unique(gram, return_inverse=True)[1]])
-
-    def estimates(self, tokens: int, texts: int) -> tuple[np.ndarray, np.ndarray]:
-        """(maximum-likelihood estimates, longest first, then 1 for an unknown word; bucket of the contexts)."""
+        replies = [np.concatenate([unpack(p[o + skip]).astype(np.int64) for p in rows[1:]]) for o in range(ORDER)]
+        of_word = np.empty(len(hashes), np.int64)
+        of_word[np.argsort(hashes, kind="stable")] = replies[0]
+        self.counts = [of_word[code], *map(spread, grams(hashes[code], self.first, bits), replies[1:])]
+
+    def estimates(self, tokens: int, texts: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """By slices of tokens (maximum-likelihood estimates, longest first, then 1 for an unknown word; bucket of the contexts)."""
         contexts = [shifted(c, self.first, texts) for c in self.counts[:-1]]
-        p = np.empty((len(self.counts[0]), ORDER + 1))
-        for o in range(1, ORDER):
-            p[:, ORDER - 1 - o] = self.counts[o] / np.maximum(contexts[o - 1], 1)
-        p[:, ORDER - 1] = self.counts[0] / max(tokens, 1)
-        p[:, ORDER] = self.counts[0] == 0
-        bucket = np.zeros(len(p), np.int64)
-        for c in contexts:
-            bucket = bucket * LEVELS + level(c)
-        return p, bucket
+        for a in range(0, len(self.counts[0]), SLICE):
+            counts, before = [c[a : a + SLICE] for c in self.counts], [c[a : a + SLICE] for c in contexts]
+            p = np.empty((len(counts[0]), ORDER + 1))
+            for o in range(1, ORDER):
+                p[:, ORDER - 1 - o] = counts[o] / np.maximum(before[o - 1], 1)
+            p[:, ORDER - 1] = counts[0] / max(tokens, 1)
+            p[:, ORDER] = counts[0] == 0
+            bucket = np.zeros(len(p), np.int64)
+            for c in before:
+                bucket = bucket * LEVELS + level(c)
+            yield p, bucket
 
     def by_text(self, values: np.ndarray) -> pa.Array:
         return pa.array(np.add.reduceat(values, self.first))
@@ -346,7 +357,7 @@ def score_documents(docs: DataFrame, folds: int = 5, held_out_fold: int = 1) ->
     chars = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
     cores = docs.sparkSession.sparkContext.defaultParallelism
     buckets = max(1, math.ceil(chars / BUCKET_CHARS), min(2 * cores, math.ceil(chars / LEAST_CHARS)))  # small inputs still use all cores
-    bits = min(62, max(chars, 1).bit_length() + 20)
+    bits = min(62, max(chars, 1).bit_length() + SPARE_BITS)
     held = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("em")), F.lit(HELD_ONE_IN)) == 0
     kind = F.when(fold.isNull() | (fold == held_out_fold), SCORED).when(held, HELD).otherwise(ESTIMATION)
     src = docs.select("doc_id", F.col("text").cast("string").alias("text"), kind.cast("int").alias("kind"))
@@ -356,8 +367,8 @@ def score_documents(docs: DataFrame, folds: int = 5, held_out_fold: int = 1) ->
     blocks = found.where("block is not null")
 
     def events(table: pa.Table) -> pa.Table:
-        p, bucket = Block(table, bits, estimation=True).estimates(n_est, texts_est)
-        return pa.table({"p": pa.array([squeeze(p.astype(np.float32).tobytes())], pa.binary()), "bucket": pa.array([pack(bucket)], pa.binary())})
+        rows = [(squeeze(p.astype(np.float32).tobytes()), pack(bucket)) for p, bucket in Block(table, bits, estimation=True).estimates(n_est, texts_est)]
+        return pa.table([pa.array(c, pa.binary()) for c in zip(*rows)], names=["p", "bucket"])
 
     weights = maximise(written(blocks.where(F.col("kind") == HELD).groupBy("block").applyInArrow(events, "p binary, bucket binary"), "events"))
     if not n:
@@ -365,9 +376,8 @@ def score_documents(docs: DataFrame, folds: int = 5, held_out_fold: int = 1) ->
 
     def score(table: pa.Table) -> pa.Table:
         block = Block(table, bits)
-        p, bucket = block.estimates(n, texts)
         base = block.by_text(np.log10((block.counts[0] + 0.5) / (n + 0.5 * (v + 1))))
-        total = block.by_text(np.log10((p * weights[bucket]).sum(1)))
+        total = block.by_text(np.concatenate([np.log10((p * weights[bucket]).sum(1)) for p, bucket in block.estimates(n, texts)]))
         known = block.by_text((block.counts[0] > 0).astype(np.int64))
         held_out = pc.and_(pc.is_valid(block.ids), block.kind == SCORED)
         return pa.table(
