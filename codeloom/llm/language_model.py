@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from codeloom.llm.common import cuts, fold_of, mix, written
 
 ORDER = 3
-BLOCK_CHARS, BUCKET_CHARS, LEAST_CHARS = 12_000_000, 12_000_000, 2_000_000
+BLOCK_CHARS, BUCKET_CHARS, LEAST_CHARS = 12_000_000, 12_000_000, 1_000_000
 SPARE_BITS, SLICE, ROWS = 16, 1 << 18, 16
 ESTIMATION, HELD, SCORED = 0, 1, 2
 HELD_ONE_IN = 20
@@ -356,15 +356,16 @@ def score_documents(docs: DataFrame, folds: int = 5, held_out_fold: int = 1) ->
     fold = fold_of(F.col("doc_id"), folds)
     chars = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
     cores = docs.sparkSession.sparkContext.defaultParallelism
-    buckets = max(1, math.ceil(chars / BUCKET_CHARS), min(2 * cores, math.ceil(chars / LEAST_CHARS)))  # small inputs still use all cores
+    buckets = max(1, math.ceil(chars / BUCKET_CHARS), min(8 * cores, math.ceil(chars / LEAST_CHARS)))  # small inputs still use all cores
     bits = min(62, max(chars, 1).bit_length() + SPARE_BITS)
     held = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("em")), F.lit(HELD_ONE_IN)) == 0
     kind = F.when(fold.isNull() | (fold == held_out_fold), SCORED).when(held, HELD).otherwise(ESTIMATION)
     src = docs.select("doc_id", F.col("text").cast("string").alias("text"), kind.cast("int").alias("kind"))
-    found = written(answers(requests(src, buckets, bits)), "counts")
+    tasks = 2 * buckets  # by the size of the input, so that a task holds few buckets or blocks at any size
+    found = written(answers(requests(src, buckets, bits).repartition(tasks, "key")), "counts")
     stats = [np.frombuffer(r.parts[0], np.int64) for r in found.where("block is null").select("parts").collect()]  # five numbers a bucket
     n_est, n, texts_est, texts, v = (int(x) for x in sum(stats, np.zeros(5, np.int64)))
-    blocks = found.where("block is not null")
+    blocks = found.where("block is not null").repartition(tasks, "block")
 
     def events(table: pa.Table) -> pa.Table:
         rows = [(squeeze(p.astype(np.float32).tobytes()), pack(bucket)) for p, bucket in Block(table, bits, estimation=True).estimates(n_est, texts_est)]
