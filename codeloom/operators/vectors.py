@@ -18,6 +18,7 @@ from pyspark.sql.functions import pandas_udf
 from codeloom.operators.search import BROADCAST_ROWS, top_k
 
 MAX_TEXT = 8192
+SCORE_CELLS = 2_000_000
 
 
 def doubles(v: Column) -> Column:
@@ -45,17 +46,65 @@ def euclidean(a: Column, b: Column) -> Column:
 METRICS: dict[str, Callable[[Column, Column], Column]] = {"cosine": cosine, "euclidean": lambda a, b: 1 / (1 + euclidean(a, b)), "dot": dot}
 
 
+def scores(x: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
+    """Points by queries."""
+    s = x @ q.T
+    if metric == "dot":
+        return s
+    xx, qq = (x * x).sum(1)[:, None], (q * q).sum(1)
+    if metric == "euclidean":
+        return 1 / (1 + np.sqrt(np.maximum(xx + qq - 2 * s, 0)))
+    scale = np.sqrt(xx) * np.sqrt(qq)
+    return np.clip(np.divide(s, scale, out=np.zeros_like(s), where=scale > 0), 0, 1)
+
+
+class Best:
+    """The k best points of each query so far, ties by id; what is below a query's k-th score is never stored."""
+
+    def __init__(self, names: list, k: int, exclude_self: bool):
+        self.names, self.k, self.exclude_self = np.array(names, object), k, exclude_self
+        self.least = np.full(len(names), -np.inf)
+        self.found: list[pd.DataFrame] = []
+        self.waiting = 0
+
+    def add(self, ids: np.ndarray, s: np.ndarray) -> None:
+        m = self.k + self.exclude_self
+        if len(s) >= m:
+            self.least = np.maximum(self.least, np.partition(s, len(s) - m, axis=0)[len(s) - m])
+        row, col = np.nonzero(s >= self.least)
+        if self.exclude_self:
+            other = ids[row] != self.names[col]
+            row, col = row[other], col[other]
+        self.found.append(pd.DataFrame({"q": col, "entity_id": ids[row], "score": s[row, col]}))
+        self.waiting += len(row)
+        if self.waiting > 8 * self.k * len(self.names):
+            self.cut()
+
+    def cut(self) -> None:
+        rows = pd.concat(self.found).sort_values(["q", "score", "entity_id"], ascending=[True, False, True])
+        self.found = [rows.groupby("q").head(self.k)]
+        self.waiting = len(self.found[0])
+
+    def rows(self) -> Iterator[pd.DataFrame]:
+        if self.found:
+            self.cut()
+            rows = self.found[0]
+            yield pd.DataFrame({"query": self.names[rows["q"]], "entity_id": rows["entity_id"].to_numpy(), "score": rows["score"].to_numpy()})
+
+
 def nearest(points: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine", exclude_self: bool = False) -> DataFrame:
     """query, entity_id, score, rank: the exact k nearest points (entity_id, vector) of each query (query, query_vector); cosine clamped to 0..1.
 
-    The queries are multiplied in blocks against each batch of points; a task keeps
-    k rows per query, so the shuffle holds k rows per query and task.
+    The queries are multiplied in blocks against slices of the points, `SCORE_CELLS` scores
+    at a time; a task keeps k rows per query, so the shuffle holds k rows per query and task.
+    Null vectors are neither points nor queries.
     """
+    queries = queries.where("query_vector is not null")
     n = queries.count()
     blocks = max(1, -(-n // BROADCAST_ROWS))
     id_type = points.schema["entity_id"].dataType.simpleString()
     q_type = queries.schema["query"].dataType.simpleString()
-    src = points.select("entity_id", doubles(F.col("vector")).alias("vector"))
+    src = points.where("vector is not null").select("entity_id", doubles(F.col("vector")).alias("vector"))
     out = None
     for i in range(blocks):
         part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == i)
@@ -67,32 +116,13 @@ def nearest(points: DataFrame, queries: DataFrame, k: int = 10, metric: str = "c
 
         def run(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
             names, q = held.value
-            qn = np.sqrt((q * q).sum(1))
-            best: list[pd.DataFrame] = []
+            best = Best(names, k, exclude_self)
             for batch in batches:
-                if not len(batch):
-                    continue
-                x = np.stack(batch["vector"].to_numpy())
                 ids = batch["entity_id"].to_numpy()
-                s = x @ q.T
-                if metric == "cosine":
-                    scale = np.sqrt((x * x).sum(1))[:, None] * qn
-                    s = np.clip(np.divide(s, scale, out=np.zeros_like(s), where=scale > 0), 0, 1)
-                elif metric == "euclidean":
-                    s = 1 / (1 + np.sqrt(np.maximum((x * x).sum(1)[:, None] + (q * q).sum(1) - 2 * s, 0)))
-                s = np.round(s, 6)
-                for j, name in enumerate(names):
-                    col = s[:, j]
-                    m = min(len(col), k + 1)
-                    cut = np.partition(col, len(col) - m)[len(col) - m]
-                    at = np.flatnonzero(col >= cut)
-                    if exclude_self:
-                        at = at[ids[at] != name]
-                    best.append(pd.DataFrame({"query": name, "entity_id": ids[at], "score": col[at]}))
-                if len(best) > 4 * len(names):
-                    best = [pd.concat(best).sort_values(["query", "score", "entity_id"], ascending=[True, False, True]).groupby("query").head(k)]
-            if best:
-                yield pd.concat(best).sort_values(["query", "score", "entity_id"], ascending=[True, False, True]).groupby("query").head(k)
+                for a in range(0, len(batch), max(1, SCORE_CELLS // len(names))):
+                    x = np.stack(batch["vector"].to_numpy()[a : a + max(1, SCORE_CELLS // len(names))])
+                    best.add(ids[a : a + len(x)], np.round(scores(x, q, metric), 6))
+            yield from best.rows()
 
         found = src.mapInPandas(run, f"query {q_type}, entity_id {id_type}, score double")
         out = found if out is None else out.unionByName(found)
@@ -101,9 +131,10 @@ def nearest(points: DataFrame, queries: DataFrame, k: int = 10, metric: str = "c
     return top_k(out, k, "query")
 
 
-def similar(points: DataFrame, ids: list, k: int = 10) -> DataFrame:
-    """The k nearest other points of each given id."""
-    return nearest(points, points.where(F.col("entity_id").isin(*ids)).select(F.col("entity_id").alias("query"), F.col("vector").alias("query_vector")), k, exclude_self=True)
+def similar(points: DataFrame, ids: list | Column, k: int = 10) -> DataFrame:
+    """The k nearest other points of each given id, or of each point for which a condition holds."""
+    chosen = ids if isinstance(ids, Column) else F.col("entity_id").isin(*ids)
+    return nearest(points, points.where(chosen).select(F.col("entity_id").alias("query"), F.col("vector").alias("query_vector")), k, exclude_self=True)
 
 
 def approximate(points: DataFrame, query_vector: list[float], k: int = 10, bucket: float = 0.5, tables: int = 5) -> DataFrame:

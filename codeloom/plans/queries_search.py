@@ -29,7 +29,7 @@ RAW = f"select query, e.*, {SCORE} as score from $ENT e, $QRY q where {PAYLOAD_M
 TOP = "select * from (select *, row_number() over (partition by query order by score desc, entity_id) as rank from ({0})) where rank <= {1}"
 PAYLOAD = TOP.format(RAW, 10)
 
-VECTOR_SQL = "select q.vec_id as query, p.vec_id as entity_id, {0} as score from embeddings q, embeddings p where q.vec_id < 20"
+VECTOR_SQL = "select q.vec_id as query, p.vec_id as entity_id, {0} as score from embeddings q, embeddings p where q.vec_id % 50 = 0"
 COSINE = "round(greatest(0.0, least(1.0, list_cosine_similarity(q.embedding::double[], p.embedding::double[]))), 6)"
 VEC_TOP = TOP.format(VECTOR_SQL.format(COSINE), 10)
 
@@ -48,7 +48,7 @@ RESULTS = f"({TOP.format(RAW, 20)})"
 
 def semantic(t: Tables) -> DataFrame:
     e = t.embeddings
-    return vectors.nearest(e.select(F.col("vec_id").alias("entity_id"), F.col("embedding").alias("vector")), e.where("vec_id < 20").select(F.col("vec_id").alias("query"), F.col("embedding").alias("query_vector")))
+    return vectors.nearest(e.select(F.col("vec_id").alias("entity_id"), F.col("embedding").alias("vector")), e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("query_vector")))
 
 
 @query("q1_payload_search", "query:s entity_id:s score:f rank:i", PAYLOAD)
@@ -117,9 +117,9 @@ def _(t: Tables) -> DataFrame:
     return search.hybrid_search(t.entities, t.queries, other_list(t), 10)
 
 
-@query("q5_similar_entities", "query:i entity_id:i score:f rank:i", TOP.format(VECTOR_SQL.format(COSINE) + " and q.vec_id in (3, 7) and p.vec_id <> q.vec_id", 5))
+@query("q5_similar_entities", "query:i entity_id:i score:f rank:i", TOP.format(VECTOR_SQL.format(COSINE) + " and p.vec_id <> q.vec_id", 5))
 def _(t: Tables) -> DataFrame:
-    return vectors.similar(t.embeddings.select(F.col("vec_id").alias("entity_id"), F.col("embedding").alias("vector")), [3, 7], 5)
+    return vectors.similar(t.embeddings.select(F.col("vec_id").alias("entity_id"), F.col("embedding").alias("vector")), F.col("entity_id") % 50 == 0, 5)
 
 
 @query("q8_count_by_filter", "entity_type:s n:i", "select entity_type, count(*) as n from $ENT where file_path = 'src/Brand_3.py' group by entity_type")
@@ -143,7 +143,7 @@ def _(t: Tables) -> DataFrame:
     return search.iterative_search(lambda q, mode: search.payload_search(t.entities, t.rows([(q,)], "query string"), 10), "ring")
 
 
-@query("r1_payload_score", "entity_id:s query:s score:f", f"select entity_id, query, {SCORE} as score from $ENT e, $QRY q where partkey % 10 = 0 or partkey % 10 > 0")
+@query("r1_payload_score", "entity_id:s query:s score:f", f"select entity_id, query, {SCORE} as score from $ENT e, $QRY q")
 def _(t: Tables) -> DataFrame:
     return t.entities.join(F.broadcast(t.queries)).select("entity_id", "query", search.payload_score(F.col("query")).alias("score"))
 

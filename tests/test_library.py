@@ -244,3 +244,25 @@ def test_reach_from_any_order(spark):
         part = {f"p{p}" for o, p, _ in items if o == start}
         want = {(f"o{start}", 0), *((p, 1) for p in part), *((f"s{s}", 2) for _, p, s in items if f"p{p}" in part)}
         assert {tuple(r) for r in joins.neighbours(edges, spark.createDataFrame([(f"o{start}",)], "node string"), 2).collect()} == want
+
+
+def test_nearest_equals_brute_force(spark, monkeypatch):
+    import numpy as np
+
+    from codeloom.operators import vectors
+
+    rng = np.random.default_rng(3)
+    x = rng.integers(-2, 3, (300, 3)).astype(float)  # many ties, some zero vectors
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(300, None)]
+    points = spark.createDataFrame(rows, "entity_id bigint, vector array<double>").repartition(3)
+    for cells, metric in ((10**6, "cosine"), (500, "cosine"), (500, "euclidean"), (500, "dot")):
+        monkeypatch.setattr(vectors, "SCORE_CELLS", cells)
+        s = np.round(vectors.scores(x, x, metric), 6)
+        for alone in (False, True):
+            queries = points.where("entity_id % 50 = 0").select(F.col("entity_id").alias("query"), F.col("vector").alias("query_vector"))
+            got = sorted((r.query, r["rank"], r.entity_id) for r in vectors.nearest(points, queries, 7, metric, alone).collect())
+            want = []
+            for q in range(0, 300, 50):
+                order = sorted((i for i in range(300) if not alone or i != q), key=lambda i: (-s[i, q], i))[:7]
+                want += [(q, n + 1, i) for n, i in enumerate(order)]
+            assert got == want
