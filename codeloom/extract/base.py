@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import bisect
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 
@@ -81,10 +82,27 @@ def contained(units: list[Unit]) -> list[tuple[Unit, Unit]]:
     return out
 
 
-def innermost(units: list[Unit], offset: int) -> Unit | None:
-    """The shortest unit around an offset."""
-    around = [u for u in units if u.start <= offset < u.end]
-    return min(around, key=lambda u: u.end - u.start, default=None)
+class Nest:
+    """Stretches within each other: those around an offset, the innermost first."""
+
+    def __init__(self, spans: Iterable[tuple[int, int]]):
+        self.spans = sorted(spans, key=lambda s: (s[0], -s[1]))
+        self.starts = [a for a, _ in self.spans]
+        self.outer: list[int] = []
+        stack: list[int] = []
+        for i, (a, _) in enumerate(self.spans):
+            while stack and self.spans[stack[-1]][1] <= a:
+                stack.pop()
+            self.outer.append(stack[-1] if stack else -1)
+            stack.append(i)
+
+    def around(self, offset: int) -> Iterator[tuple[int, int]]:
+        """Spans with start <= offset < end."""
+        i = bisect.bisect_right(self.starts, offset) - 1
+        while i >= 0:
+            if offset < self.spans[i][1]:
+                yield self.spans[i]
+            i = self.outer[i]
 
 
 def blanked(text: str, line_marks: tuple[str, ...] = ("//",), blocks: tuple[tuple[str, str], ...] = (("/*", "*/"),), quotes: str = "\"'`") -> str:
@@ -127,16 +145,21 @@ def block_ends(code: str) -> dict[int, int]:
     return ends | {i: len(code) for i in stack}
 
 
-def comment_before(text: str, start: int) -> str:
-    """The comment block that ends right before an offset, without its marks."""
+def comment_before(text: str, start: int, marks: tuple[str, ...] = ("//",)) -> str:
+    """The comment block that ends right before an offset, without its marks; attributes and annotations may stand between."""
     head = text[:start].rstrip()
+    while (line := head[head.rfind("\n") + 1 :].strip()).startswith(("#[", "@")) and not line.startswith("@interface"):
+        head = head[: head.rfind("\n") + 1].rstrip()
     if head.endswith("*/"):
         a = head.rfind("/*")
         return " ".join(x.strip(" *\t") for x in head[a + 2 : -2].lstrip("*").splitlines()).strip()
     lines = []
-    for x in reversed(head.splitlines()):
-        s = x.strip()
-        if not s.startswith(("//", "#")) or s.startswith("#["):
+    end = len(head)
+    while end >= 0:
+        begin = head.rfind("\n", 0, end) + 1
+        s = head[begin:end].strip()
+        if not s.startswith(marks):
             break
         lines.append(s.lstrip("/#! ").strip())
+        end = begin - 1
     return " ".join(reversed(lines))

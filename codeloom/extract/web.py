@@ -51,7 +51,7 @@ class Reader(HTMLParser):
             self.edges.append(Edge("script_imports", label, a["src"], line))
         if tag == "form":
             self.forms.append(made[0])
-        elif self.forms and tag in ("input", "textarea", "select", "button"):
+        elif self.forms and self.forms[-1] is not self.open[-1][1][0] and tag in ("input", "textarea", "select", "button"):
             self.edges.append(Edge("contains", self.forms[-1].qualified, label, line))
         if self.open:
             self.edges.append(Edge("contains", self.open[-1][1][0].qualified, label, line))
@@ -87,7 +87,8 @@ def parse_css(text: str, path: str) -> Parsed:
     ends = block_ends(code)
     units: list[Unit] = []
     edges: list[Edge] = []
-    line_of = lambda at: text.count("\n", 0, at) + 1
+    lines = Lines(text)
+    line_of = lambda at: lines.place(at)[0]
     rules: list[Unit] = []
     for m in re.finditer(r"([^{};]+)([{;])", code):
         start = m.start() + len(m[1]) - len(m[1].lstrip())

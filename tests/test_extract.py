@@ -227,3 +227,36 @@ def test_registry():
     assert registry.can_parse("a.toml") and registry.language_for("x.h") == "cpp" and not registry.can_parse("x.unknown")
     registry.unregister("toml")
     assert not registry.can_parse("a.toml")
+
+
+def units_of(text, path):
+    got = registry.parse(text, path)
+    return {(u.kind, u.name): u for u in got.units}, {(e.kind, e.source, e.target) for e in got.edges}
+
+
+def test_cpp_access_and_uses():
+    u, e = units_of("/* A shape */\nclass Shape : public Base {\n  int hidden() { return 1; }\npublic:\n  virtual double area() const = 0;\n  struct In { void open(); };\nprotected:\n  void low();\n};\nenum class Color { Red };\nShape *one = 0;\nbool operator==(const Shape& a, const Shape& b) { Color c = a.color; return true; }\n", "s.cpp")
+    assert [u["method", n].visibility for n in ("hidden", "area", "open", "low")] == ["private", "public", "public", "protected"]
+    assert u["class", "Shape"].docstring == "A shape" and ("class", "Color") not in u and ("enum", "Color") in u and ("function", "operator==") in u
+    assert {("uses_type", "one", "Shape"), ("uses_type", "c", "Color")} <= e
+
+
+def test_declarations_that_look_alike():
+    u, e = units_of("/** Doc */\nexport default class A {\n  run() { go(1); }\n}\nexport { A as B, c };\nconst f = async (x: number): Promise<void> => {};\n", "x.ts")
+    assert u["class", "A"].docstring == "Doc" and ("calls", "A.run", "go") in e and {("export", "B"), ("export", "c")} <= set(u)
+    assert ("function", "f") in u and ("constant", "f") not in u
+    u, _ = units_of("// Colours\n@Deprecated\nenum Color { RED, GREEN; int code; }\n", "Color.java")
+    assert u["enum", "Color"].docstring == "Colours" and ("variable", "code") in u and ("variable", "GREEN") not in u
+    u, _ = units_of('#include "a.h"\n#define X 1\n', "a.c")
+    assert u["constant", "X"].docstring == ""
+
+
+@pytest.mark.parametrize(("path", "part"), [("a.js", "class C{0} {{ m(x) {{ return f{0}(x); }} }}\n"), ("a.cpp", "class C{0} {{ public: int m(int x) {{ return f(x); }} }};\n"), ("a.css", ".c{0} {{ color: red; }}\n"), ("a.html", "<div id='d{0}'><a href='x'>y</a></div>\n"), ("a.json", None), ("a.yaml", "k{0}: {{a: 1}}\n")])
+def test_large_files_take_linear_time(path, part):
+    import time
+
+    size = 4000
+    text = "{" + ",".join(f'"k{i}": {{"a": {i}}}' for i in range(size)) + "}" if part is None else "".join(part.format(i) for i in range(size))
+    began = time.process_time()
+    assert len(registry.parse(text, path).units) >= size
+    assert time.process_time() - began < 5
