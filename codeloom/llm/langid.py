@@ -84,10 +84,14 @@ class Mixture:
 
 
 def train(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Mixture:
-    """Trigram counts by language over about `sample_docs` rows (text, lang), picked by a hash of the text."""
+    """Trigram counts by language over about `sample_docs` rows (text, lang).
+
+    They are picked by a hash of the text and, where there is one, the doc_id, so that a text
+    with very many copies is neither wholly in the sample nor wholly out of it.
+    """
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     share = sample_docs / max(1, rows.count())
-    cut = hash_share(share, "text")
+    cut = hash_share(share, *(c for c in ("doc_id", "text") if c in labelled.columns))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally: dict[str, np.ndarray] = {}
@@ -122,5 +126,5 @@ def predict_languages(docs: DataFrame, model: Mixture, also: dict | None = None)
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     fold = fold_of(F.col("doc_id"), 4)
-    model = train(docs.where(fold != 2).select("text", "lang"))
+    model = train(docs.where(fold != 2).select("doc_id", "text", "lang"))
     return predict_languages(docs, model, {"held_out": F.coalesce(fold == 2, F.lit(False))})

@@ -302,11 +302,11 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 
 
 def find_pii(docs: DataFrame, field: Field | None = None, min_marginal: float = 0.9) -> DataFrame:
-    """doc_id, counts and digest of the base spans, all spans joined, and how many the field added."""
+    """doc_id, counts and digest of the base spans, all spans joined, how many the field added, and how many there are."""
     field = field or train(docs)
 
     def fn(texts: list[str]) -> dict[str, list]:
-        out: dict[str, list] = {c: [] for c in ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added")}
+        out: dict[str, list] = {c: [] for c in ("n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_added", "n_spans")}
         for text in texts:
             base, added = spans_of(text, field, min_marginal)
             per = Counter(k for k, _, _ in base)
@@ -315,9 +315,10 @@ def find_pii(docs: DataFrame, field: Field | None = None, min_marginal: float =
             out["base_sha256"].append(hashlib.sha256(joined(base).encode()).hexdigest())
             out["spans"].append(joined(base + added))
             out["n_added"].append(len(added))
+            out["n_spans"].append(len(base) + len(added))
         return out
 
-    return map_texts(docs, fn, "n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, n_added bigint")
+    return map_texts(docs, fn, "n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, n_added bigint, n_spans bigint")
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

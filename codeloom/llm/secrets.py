@@ -193,11 +193,11 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 
 
 def find_secrets(docs: DataFrame, ranks: dict[str, float] | None = None, min_guesses_log10: float = 8.0) -> DataFrame:
-    """doc_id, counts and digest of the base spans, all spans joined, and how many the cost measure added."""
+    """doc_id, counts and digest of the base spans, all spans joined, how many the cost measure added, and how many there are."""
     ranks = train_ranks(docs) if ranks is None else ranks
 
     def fn(texts: list[str]) -> dict[str, list]:
-        out: dict[str, list] = {c: [] for c in ("n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_added")}
+        out: dict[str, list] = {c: [] for c in ("n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_added", "n_spans")}
         for text in texts:
             base = base_spans(text)
             added = added_spans(text, base, ranks, min_guesses_log10)
@@ -207,9 +207,10 @@ def find_secrets(docs: DataFrame, ranks: dict[str, float] | None = None, min_gue
             out["base_sha256"].append(hashlib.sha256(joined(base).encode()).hexdigest())
             out["spans"].append(joined(base + added))
             out["n_added"].append(len(added))
+            out["n_spans"].append(len(base) + len(added))
         return out
 
-    return map_texts(docs, fn, "n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string, n_added bigint")
+    return map_texts(docs, fn, "n_assign bigint, n_access bigint, n_hex bigint, base_sha256 string, spans string, n_added bigint, n_spans bigint")
 
 
 def redact(text: str, ranks: dict[str, float], min_guesses_log10: float = 8.0, mark: str = "<secret>") -> str:
