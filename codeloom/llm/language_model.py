@@ -8,6 +8,10 @@ expectation-maximisation on held-out counts: a twentieth of the training documen
 set aside for them, and the estimates they meet are of the others; final counts are of
 all training documents.  A text is its words and one end; before it stand two marks.
 
+`score` is the probability under all counts.  `deleted_score` leaves the document's own
+counts out, so that training documents are measured like unseen ones, and one that
+occurs again elsewhere stands out; for documents that were not learned from, both are equal.
+
 Documents are read into blocks, each of one kind (estimation, held-out, scored only),
 and kept as packed word numbers.  A block asks each bucket of hash values once for the
 words and n-grams it holds, packed and sorted, and gets packed counts back.  So
@@ -161,6 +165,16 @@ def spread(values: np.ndarray, found: np.ndarray) -> np.ndarray:
     return out
 
 
+def times(values: np.ndarray) -> np.ndarray:
+    """For each value how often it occurs."""
+    order = np.argsort(values)
+    ordered = values[order]
+    group = np.cumsum(np.append(False, ordered[1:] != ordered[:-1]))
+    out = np.empty(len(values), np.int64)
+    out[order] = np.bincount(group)[group]
+    return out
+
+
 def ddl(id_type: str) -> str:
     """Rows of the exchange: to a bucket (key >= 0) or the documents of a block (key < 0), with packed parts."""
     return f"key bigint, block bigint, kind int, ids array<{id_type}>, parts array<binary>"
@@ -274,7 +288,7 @@ def answers(sent: DataFrame) -> DataFrame:
 class Block:
     """A block's documents with the counts of their tokens and n-grams: ids, tokens of each text, counts by order."""
 
-    def __init__(self, table: pa.Table, bits: int, estimation: bool = False):
+    def __init__(self, table: pa.Table, bits: int, estimation: bool = False, own: bool = False):
         rows = table.select(["key", "parts"]).take(pc.sort_indices(table.column("key"))).column("parts").to_pylist()
         at = pc.index(pc.less(table.column("key"), 0), True).as_py()
         self.ids, self.kind = table.column("ids").combine_chunks()[at].values, table.column("kind")[at].as_py()
@@ -284,17 +298,28 @@ class Block:
         replies = [np.concatenate([unpack(p[o + skip]).astype(np.int64) for p in rows[1:]]) for o in range(ORDER)]
         of_word = np.empty(len(hashes), np.int64)
         of_word[np.argsort(hashes, kind="stable")] = replies[0]
-        self.counts = [of_word[code], *map(spread, grams(hashes[code], self.first, bits), replies[1:])]
-
-    def estimates(self, tokens: int, texts: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        self.counts, self.own = [of_word[code]], []
+        salt = np.repeat(mix(np.arange(len(self.per), dtype=np.uint64)), self.per)
+        with np.errstate(over="ignore"):
+            self.own += [times(mix(code + salt))] if own else []
+            for gram, reply in zip(grams(hashes[code], self.first, bits), replies[1:]):
+                self.counts.append(spread(gram, reply))
+                self.own += [times(mix(gram + salt))] if own else []
+
+    def without_own(self) -> None:
+        """Takes from the counts what the document itself gave to them."""
+        self.counts = [c - o for c, o in zip(self.counts, self.own)]
+
+    def estimates(self, tokens: int | np.ndarray, texts: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """By slices of tokens (maximum-likelihood estimates, longest first, then 1 for an unknown word; bucket of the contexts)."""
         contexts = [shifted(c, self.first, texts) for c in self.counts[:-1]]
+        tokens = np.broadcast_to(tokens, len(self.counts[0]))
         for a in range(0, len(self.counts[0]), SLICE):
             counts, before = [c[a : a + SLICE] for c in self.counts], [c[a : a + SLICE] for c in contexts]
             p = np.empty((len(counts[0]), ORDER + 1))
             for o in range(1, ORDER):
                 p[:, ORDER - 1 - o] = counts[o] / np.maximum(before[o - 1], 1)
-            p[:, ORDER - 1] = counts[0] / max(tokens, 1)
+            p[:, ORDER - 1] = counts[0] / np.maximum(tokens[a : a + SLICE], 1)
             p[:, ORDER] = counts[0] == 0
             bucket = np.zeros(len(p), np.int64)
             for c in before:
@@ -352,7 +377,7 @@ def maximise(events: DataFrame) -> np.ndarray:
 
 
 def score_documents(docs: DataFrame, folds: int = 5, held_out_fold: int = 1) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, per_token (score by token): one row per document."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, deleted_score, per_token (deleted_score by token): one row per document."""
     fold = fold_of(F.col("doc_id"), folds)
     chars = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
     cores = docs.sparkSession.sparkContext.defaultParallelism
@@ -376,18 +401,24 @@ def score_documents(docs: DataFrame, folds: int = 5, held_out_fold: int = 1) ->
         weights = np.eye(ORDER + 1)[np.full(len(weights), ORDER)]
 
     def score(table: pa.Table) -> pa.Table:
-        block = Block(table, bits)
+        learned = table.column("kind")[0].as_py() != SCORED
+        block = Block(table, bits, own=learned)
         base = block.by_text(np.log10((block.counts[0] + 0.5) / (n + 0.5 * (v + 1))))
-        total = block.by_text(np.concatenate([np.log10((p * weights[bucket]).sum(1)) for p, bucket in block.estimates(n, texts)]))
+        chance = lambda tokens, texts: block.by_text(np.concatenate([np.log10((p * weights[bucket]).sum(1)) for p, bucket in block.estimates(tokens, texts)]))
+        total = chance(n, texts)
         known = block.by_text((block.counts[0] > 0).astype(np.int64))
+        alone = total
+        if learned:
+            block.without_own()
+            alone = chance(n - np.repeat(block.per, block.per), texts - 1)
         held_out = pc.and_(pc.is_valid(block.ids), block.kind == SCORED)
         return pa.table(
-            [block.ids, held_out, pa.array(block.per), known, pa.array([n] * len(block.per), pa.int64()), base, total, pc.divide(total, block.per)],
-            names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "per_token"],
+            [block.ids, held_out, pa.array(block.per), known, pa.array([n] * len(block.per), pa.int64()), base, total, alone, pc.divide(alone, block.per)],
+            names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "deleted_score", "per_token"],
         )
 
     id_type = src.schema["doc_id"].dataType.simpleString()
-    return blocks.groupBy("block").applyInArrow(score, f"doc_id {id_type}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, per_token double")
+    return blocks.groupBy("block").applyInArrow(score, f"doc_id {id_type}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, deleted_score double, per_token double")
 
 
 def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:

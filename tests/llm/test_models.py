@@ -60,27 +60,29 @@ def test_toxicity_documents(spark, docs, empty):
 
 
 def brute_force_scores(rows):
-    """Counts in dictionaries, the same split and mixture, expectation-maximisation token by token: id -> score, and the probability of any word after a context."""
+    """Counts in dictionaries, the same split and mixture, expectation-maximisation token by token: id -> score, id -> score without the text's own counts, and the probability of any word after a context."""
     lm = language_model
     kind = {r.doc_id: r.kind for r in rows}
     marked = {r.doc_id: [None, None, *lm.tokens_of(r.text)] for r in rows}
 
-    def tables(kinds):
+    def tables(kinds, some=None):
         out = [Counter(), Counter(), Counter()]
-        for i, t in marked.items():
+        texts = 0
+        for i, t in marked.items() if some is None else [(some, marked[some])]:
             if kind[i] in kinds:
+                texts += 1
                 for o in range(3):
                     out[o].update(tuple(t[k - o : k + 1]) for k in range(2, len(t)))
-        out[0][(None,)] = out[1][(None, None)] = sum(k in kinds for k in kind.values())
+        out[0][(None,)] = out[1][(None, None)] = texts
         return out, sum(n for (w,), n in out[0].items() if w is not None)
 
     def level(c):
         return min(1 + math.ceil(math.log2(c)), lm.LEVELS - 1) if c else 0
 
-    def estimates(made, u, v, w):
-        (one, two, three), n = made
-        p = [three[u, v, w] / max(1, two[u, v]), two[v, w] / max(1, one[v,]), one[w,] / n, float(one[w,] == 0)]
-        return level(one[v,]) * lm.LEVELS + level(two[u, v]), p
+    def estimates(made, u, v, w, own=([Counter()] * 3, 0)):
+        count = lambda *gram: made[0][len(gram) - 1][gram] - own[0][len(gram) - 1][gram]
+        p = [count(u, v, w) / max(1, count(u, v)), count(v, w) / max(1, count(v)), count(w) / (made[1] - own[1]), float(count(w) == 0)]
+        return level(count(v)) * lm.LEVELS + level(count(u, v)), p
 
     part, every = tables({lm.ESTIMATION}), tables({lm.ESTIMATION, lm.HELD})
     events = [estimates(part, *t[k - 2 : k + 1]) for i, t in marked.items() if kind[i] == lm.HELD for k in range(2, len(t))]
@@ -97,11 +99,16 @@ def brute_force_scores(rows):
         if np.abs(weights - now).max() < lm.EM_CLOSE:
             break
 
-    def chance(u, v, w):
-        b, p = estimates(every, u, v, w)
+    def chance(u, v, w, own=([Counter()] * 3, 0)):
+        b, p = estimates(every, u, v, w, own)
         return float(weights[b] @ p)
 
-    return {i: sum(math.log10(chance(*t[k - 2 : k + 1])) for k in range(2, len(t))) for i, t in marked.items()}, chance, [w for (w,) in every[0][0] if w is not None]
+    def score(i, t, *own):
+        return sum(math.log10(chance(*t[k - 2 : k + 1], *own)) for k in range(2, len(t)))
+
+    scores = {i: score(i, t) for i, t in marked.items()}
+    alone = {i: score(i, t, tables({lm.ESTIMATION, lm.HELD}, i)) for i, t in marked.items()}
+    return scores, alone, chance, [w for (w,) in every[0][0] if w is not None]
 
 
 def test_language_model_equals_brute_force(spark, monkeypatch):
@@ -111,7 +118,7 @@ def test_language_model_equals_brute_force(spark, monkeypatch):
     held = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("em")), F.lit(language_model.HELD_ONE_IN)) == 0
     rows = df.withColumn("kind", F.when(fold == 1, language_model.SCORED).when(held, language_model.HELD).otherwise(language_model.ESTIMATION)).collect()
     assert len({r.kind for r in rows}) == 3
-    want, chance, vocabulary = brute_force_scores(rows)
+    want, alone, chance, vocabulary = brute_force_scores(rows)
     for context in ((None, None), (None, b"a"), (b"a", b"b"), (b"zz", b"a"), (b"zz", b"zz")):
         assert math.isclose(sum(chance(*context, w) for w in [*vocabulary, b"zz"]), 1, rel_tol=1e-9)  # "zz" stands for all unknown words
     for limits in ({}, {"BLOCK_CHARS": 20_000, "BUCKET_CHARS": 40_000, "LEAST_CHARS": 40_000}):
@@ -119,7 +126,7 @@ def test_language_model_equals_brute_force(spark, monkeypatch):
             monkeypatch.setattr(language_model, name, value)
         got = language_model.score_documents(df).collect()
         assert {r.doc_id for r in got} == set(want) and all(math.isclose(r.score, want[r.doc_id], rel_tol=1e-4) for r in got)
-        assert all(math.isclose(r.per_token * r.n_tokens, r.score) for r in got)
+        assert all(math.isclose(r.deleted_score, alone[r.doc_id], rel_tol=1e-4) and math.isclose(r.per_token * r.n_tokens, r.deleted_score) for r in got)
 
 
 def test_tokenise():
