@@ -17,7 +17,9 @@ and kept as packed word numbers.  A block asks each bucket of hash values once f
 words and n-grams it holds, packed and sorted, and gets packed counts back.  So
 the text is read once and never shuffled, a shuffled entry is a distinct n-gram of
 a block, and no word or context makes a hot key: n-grams are dealt by their own hash,
-not by their context's.
+not by their context's.  Above `FAN` buckets (about 50 GB of text) the requests go
+through nodes, two levels of sqrt(buckets) each, so a row holds about a thousand
+entries at 100 TB too.
 
 Words are compared as they are.  N-grams are told apart by hashes with `SPARE_BITS` more
 bits than the number of characters has, so an unseen one is taken for another with a
@@ -45,7 +47,7 @@ from codeloom.llm.common import cuts, fold_of, mix, written
 
 ORDER = 3
 BLOCK_CHARS, BUCKET_CHARS, LEAST_CHARS = 12_000_000, 12_000_000, 1_000_000
-SPARE_BITS, SLICE, ROWS = 16, 1 << 18, 16
+SPARE_BITS, SLICE, ROWS, FAN = 16, 1 << 18, 16, 4096
 ESTIMATION, HELD, SCORED = 0, 1, 2
 HELD_ONE_IN = 20
 EM_ROUNDS, EM_CLOSE, EM_PRIOR = 15, 2e-3, 1.0
@@ -176,39 +178,50 @@ def times(values: np.ndarray) -> np.ndarray:
 
 
 def ddl(id_type: str) -> str:
-    """Rows of the exchange: to a bucket (key >= 0) or the documents of a block (key < 0), with packed parts."""
-    return f"key bigint, block bigint, kind int, ids array<{id_type}>, parts array<binary>"
+    """Rows of the exchange: to a bucket or node (key >= 0), or things kept (key < 0), with packed parts; stats as in answer()."""
+    return f"key bigint, block bigint, kind int, ids array<{id_type}>, parts array<binary>, stats array<bigint>"
 
 
 def batch_of(rows: list[tuple], id_type: pa.DataType) -> dict:
-    kinds = {"key": pa.int64(), "block": pa.int64(), "kind": pa.int32(), "ids": pa.list_(id_type), "parts": pa.list_(pa.binary())}
-    return {"arrays": [pa.array(c, t) for c, t in zip(zip(*rows) if rows else [()] * len(kinds), kinds.values())], "names": list(kinds)}
+    """rows of (key, block, kind, ids, parts[, stats]) as columns."""
+    kinds = {"key": pa.int64(), "block": pa.int64(), "kind": pa.int32(), "ids": pa.list_(id_type), "parts": pa.list_(pa.binary()), "stats": pa.list_(pa.int64())}
+    full = [(*r, None)[:6] for r in rows]
+    return {"arrays": [pa.array(c, t) for c, t in zip(zip(*full) if full else [()] * len(kinds), kinds.values())], "names": list(kinds)}
+
+
+def edges_of(buckets: int, bits: int) -> list[int]:
+    return [((i << bits) + buckets - 1) // buckets for i in range(buckets + 1)]
+
+
+def request_parts(words: pa.Array, tables: list[tuple], edges: list[int]) -> Iterator[tuple[int, list[bytes]]]:
+    """(place of the bucket, packed request) of the buckets that have to do with these words and n-grams.
+
+    tables: by order (sorted hashes, counts in the estimation part, in the held-out part), None for counts of zero.
+    """
+    spans = [np.searchsorted(keys, np.array(edges, np.uint64)) for keys, _, _ in tables]
+    for k in range(len(edges) - 1):
+        if all(s[k] == s[k + 1] for s in spans):
+            continue
+        parts = pack_strings(words[spans[0][k] : spans[0][k + 1]])
+        for o, ((keys, *counts), s) in enumerate(zip(tables, spans)):
+            a, b = s[k : k + 2]
+            parts += [pack_sorted(keys[a:b])] if o else []
+            parts += [b"" if n is None else pack(n[a:b]) for n in counts]
+        yield k, parts
 
 
 def block_rows(ids: pa.Array, texts: pa.Array, kind: int, block: int, buckets: int, bits: int) -> list[tuple]:
     """The documents of a block as one row, and one request row for each bucket that has to do with it."""
     words, code, per = tokenise(texts)
-    hashes, times = word_hashes(words, bits), np.bincount(code, minlength=len(words))
-    common = np.lexsort((hashes, -times))  # small numbers for common words, and sorted runs of hashes: both pack well
+    hashes, uses = word_hashes(words, bits), np.bincount(code, minlength=len(words))
+    common = np.lexsort((hashes, -uses))  # small numbers for common words, and sorted runs of hashes: both pack well
     rank = np.empty(len(common), np.int32)
     rank[common] = np.arange(len(common))
     rows = [(-1 - block, block, kind, ids.to_pylist(), [pack(per), pack(rank[code]), pack_sorted(hashes[common])])]
-    edges = np.array([((i << bits) + buckets - 1) // buckets for i in range(buckets + 1)], np.uint64)
     order = common[np.argsort(hashes[common], kind="stable")]  # as the block will see them, equal hashes too
-    tables = [(hashes[order], times[order]), *map(distinct, grams(hashes[code], np.cumsum(per) - per, bits))]
-    words = words.take(pa.array(order))
-    spans = [np.searchsorted(keys, edges) for keys, _ in tables]
-    for k in range(buckets):
-        if all(s[k] == s[k + 1] for s in spans):
-            continue
-        a, b = spans[0][k : k + 2]
-        parts = [*pack_strings(words[a:b])]
-        for o, ((keys, n), s) in enumerate(zip(tables, spans)):
-            a, b = s[k : k + 2]
-            parts += [pack_sorted(keys[a:b])] if o else []
-            parts.append(pack(n[a:b]) if kind != SCORED else b"")
-        rows.append((k, block, kind, None, parts))
-    return rows
+    found = [(hashes[order], uses[order]), *map(distinct, grams(hashes[code], np.cumsum(per) - per, bits))]
+    tables = [(keys, n if kind == ESTIMATION else None, n if kind == HELD else None) for keys, n in found]
+    return rows + [(k, block, kind, None, parts) for k, parts in request_parts(words.take(pa.array(order)), tables, edges_of(buckets, bits))]
 
 
 def requests(src: DataFrame, buckets: int, bits: int) -> DataFrame:
@@ -241,48 +254,112 @@ def requests(src: DataFrame, buckets: int, bits: int) -> DataFrame:
     return src.select("doc_id", "text", "kind").mapInArrow(run, ddl(id_type))
 
 
-def answers(sent: DataFrame) -> DataFrame:
-    """For each request the counts in all training documents, and for those of held-out blocks also the counts in the estimation part; document rows as they are.
+class Asked:
+    """Requests put together: by order the distinct entries, their counts, and the places of each request's entries among them."""
 
-    Each bucket adds one row without a block: tokens and ends in both parts, and distinct words.
-    """
-    schema = sent.schema
-
-    def run(table: pa.Table) -> pa.Table:
-        key = table.column("key")[0].as_py()
-        if key < 0:
-            return table
-        blocks, kinds, asked = (table.column(c).to_pylist() for c in ("block", "kind", "parts"))
-        replies: list[list] = [[] for _ in blocks]
-        estimates: list[list] = [[] for _ in blocks]
-        stats: list[int] = []
+    def __init__(self, requests: list[list[bytes]]):
+        self.known, self.at, self.est, self.held = [], [], [], []
         for o in range(ORDER):
             if o == 0:
-                lists = [strings(unpack(p[0]), expand(p[1])) for p in asked]
+                lists = [strings(unpack(p[0]), expand(p[1])) for p in requests]
                 coded = pa.concat_arrays(lists).dictionary_encode()
-                at, size = coded.indices.to_numpy(zero_copy_only=False), len(coded.dictionary)
+                known, at = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
             else:
-                lists = [unpack_sorted(p[1 + 2 * o]) for p in asked]
+                lists = [unpack_sorted(p[1 + 3 * o]) for p in requests]
                 known, at = np.unique(np.concatenate(lists), return_inverse=True)
-                size = len(known)
             ends = np.cumsum([0, *map(len, lists)])
-            both, est = np.zeros(size, np.int64), np.zeros(size, np.int64)
-            for i, p in enumerate(asked):
-                if kinds[i] != SCORED and ends[i] < ends[i + 1]:  # an entry is there once in a request
-                    (est if kinds[i] == ESTIMATION else both)[at[ends[i] : ends[i + 1]]] += unpack(p[2 + 2 * o]).astype(np.int64)
-            both += est
-            for i, kind in enumerate(kinds):
-                some = at[ends[i] : ends[i + 1]]
-                replies[i].append(pack(both[some]))
-                estimates[i] += [pack(est[some])] if kind == HELD else []
-            if o == 0:
-                end = pc.index(coded.dictionary, pa.scalar(b"", pa.binary())).as_py()
-                stats = [int(est.sum()), int(both.sum()), int(est[end]) if end >= 0 else 0, int(both[end]) if end >= 0 else 0, int((both > 0).sum())]
-        rows = [(key, b, k, None, r + e) for b, k, r, e in zip(blocks, kinds, replies, estimates)]
-        rows.append((key, None, None, None, [np.array(stats, np.int64).tobytes()]))
+            places = [at[a:b] for a, b in zip(ends, ends[1:])]
+            counts = np.zeros((2, len(known)), np.int64)
+            for place, p in zip(places, requests):
+                for total, blob in zip(counts, p[2 + 3 * o : 4 + 3 * o]):
+                    if blob:
+                        total[place] += unpack(blob).astype(np.int64)  # an entry is there once in a request
+            self.known.append(known)
+            self.at.append(places)
+            self.est.append(counts[0])
+            self.held.append(counts[1])
+
+
+def reply(both: list[np.ndarray], held: list[np.ndarray], places: list[np.ndarray], kind: int) -> list[bytes]:
+    """Counts of all training documents at these places; for held-out blocks also those of the held-out part."""
+    return [pack(n[at]) for n, at in zip(both, places)] + ([pack(n[at]) for n, at in zip(held, places)] if kind == HELD else [])
+
+
+def answer(table: pa.Table) -> pa.Table:
+    """A reply for each request of a bucket; rows that are kept stay as they are.
+
+    Each bucket adds one row with stats: tokens and ends in the estimation part and in both, and distinct words in both.
+    """
+    key = table.column("key")[0].as_py()
+    if key < 0:
+        return table
+    blocks, kinds, requests = (table.column(c).to_pylist() for c in ("block", "kind", "parts"))
+    asked = Asked(requests)
+    both = [e + h for e, h in zip(asked.est, asked.held)]
+    rows = [(key, b, kind, None, reply(both, asked.held, [at[i] for at in asked.at], kind)) for i, (b, kind) in enumerate(zip(blocks, kinds))]
+    end = pc.index(asked.known[0], pa.scalar(b"", pa.binary())).as_py()
+    ends = [int(n[end]) if end >= 0 else 0 for n in (asked.est[0], both[0])]
+    rows.append((key, None, None, None, None, [int(asked.est[0].sum()), int(both[0].sum()), *ends, int((both[0] > 0).sum())]))
+    return pa.Table.from_arrays(**batch_of(rows, table.schema.field("ids").type.value_type))
+
+
+def merge(side: int, bits: int):
+    """Puts the requests of many blocks to one coarse bucket together into requests to fine ones; keeps what leads back to the blocks."""
+    edges = edges_of(side * side, bits)
+
+    def run(table: pa.Table) -> pa.Table:
+        node = table.column("key")[0].as_py()
+        if node < 0:
+            return table
+        blocks, kinds, requests = (table.column(c).to_pylist() for c in ("block", "kind", "parts"))
+        asked = Asked(requests)
+        hashes = word_hashes(asked.known[0], bits)
+        order = np.argsort(hashes, kind="stable")
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        tables = [(hashes[order], asked.est[0][order], asked.held[0][order]), *zip(asked.known[1:], asked.est[1:], asked.held[1:])]
+        first = node // side * side
+        rows = [(first + k, node, HELD, None, parts) for k, parts in request_parts(asked.known[0].take(pa.array(order)), tables, edges[first : first + side + 1])]
+        for i, (block, kind) in enumerate(zip(blocks, kinds)):
+            rows.append((-1 - block, node, kind, None, [pack(rank[asked.at[0][i]]), *(pack(at[i]) for at in asked.at[1:])]))
         return pa.Table.from_arrays(**batch_of(rows, table.schema.field("ids").type.value_type))
 
-    return sent.groupBy("key").applyInArrow(run, schema)
+    return run
+
+
+def give_back(table: pa.Table) -> pa.Table:
+    """The replies to a node, as replies to its blocks."""
+    rows = table.take(pc.sort_indices(table.column("key")))
+    keys, kinds, parts = (rows.column(c).to_pylist() for c in ("key", "kind", "parts"))
+    kept = sum(k < 0 for k in keys)
+    both, held = ([np.concatenate([unpack(p[o + skip]).astype(np.int64) for p in parts[kept:]]) for o in range(ORDER)] for skip in (0, ORDER))
+    node = table.column("block")[0].as_py()
+    out = [(node, -1 - k, kind, None, reply(both, held, [unpack(x).astype(np.int64) for x in p], kind)) for k, kind, p in zip(keys[:kept], kinds, parts)]
+    return pa.Table.from_arrays(**batch_of(out, table.schema.field("ids").type.value_type))
+
+
+def exchange(src: DataFrame, buckets: int, bits: int) -> tuple[DataFrame, list[int]]:
+    """(rows of the blocks: their documents, and the counts of what they hold; sums of the stats).
+
+    With very many buckets a block would send each next to nothing.  Then it asks one of sqrt(buckets)
+    coarse ones, where nodes put together what many blocks ask and ask the fine ones.
+    """
+    tasks = 2 * buckets  # by the size of the input, so that a task holds few buckets or blocks at any size
+    if buckets <= FAN:
+        sent = requests(src, buckets, bits)
+        found = answered = written(sent.repartition(tasks, "key").groupBy("key").applyInArrow(answer, sent.schema), "counts")
+    else:
+        side = math.isqrt(buckets - 1) + 1
+        sent = requests(src, side, bits)
+        node = F.when(F.col("key") >= 0, F.col("key") * side + F.pmod(F.xxhash64("block"), F.lit(side))).otherwise(F.col("key"))
+        merged = written(sent.withColumn("key", node).repartition(tasks, "key").groupBy("key").applyInArrow(merge(side, bits), sent.schema), "merged")
+        fine = merged.where("key >= 0").repartition(tasks, "key").groupBy("key").applyInArrow(answer, sent.schema)
+        answered = written(fine, "answers")
+        back = answered.where("block is not null").unionByName(merged.where("key < 0 and ids is null"))
+        back = back.repartition(tasks, "block").groupBy("block").applyInArrow(give_back, sent.schema)
+        found = merged.where("ids is not null").unionByName(written(back, "counts"))
+    stats = answered.where("stats is not null").agg(*(F.sum(F.col("stats")[i]) for i in range(5))).first()
+    return found.where("block is not null").repartition(tasks, "block"), [x or 0 for x in stats]
 
 
 class Block:
@@ -294,8 +371,8 @@ class Block:
         self.ids, self.kind = table.column("ids").combine_chunks()[at].values, table.column("kind")[at].as_py()
         self.per, code, hashes = unpack(rows[0][0]).astype(np.int64), unpack(rows[0][1]), unpack_sorted(rows[0][2])
         self.first = np.cumsum(self.per) - self.per
-        skip = ORDER if estimation else 0
-        replies = [np.concatenate([unpack(p[o + skip]).astype(np.int64) for p in rows[1:]]) for o in range(ORDER)]
+        total = lambda part: np.concatenate([unpack(p[part]).astype(np.int64) for p in rows[1:]])
+        replies = [total(o) - (total(ORDER + o) if estimation else 0) for o in range(ORDER)]
         of_word = np.empty(len(hashes), np.int64)
         of_word[np.argsort(hashes, kind="stable")] = replies[0]
         self.counts, self.own = [of_word[code]], []
@@ -346,7 +423,7 @@ def allowed() -> np.ndarray:
 
 
 def maximise(events: DataFrame) -> np.ndarray:
-    """Mixture weights by bucket (rows of 1), from expectation-maximisation on rows of packed events; sums of a task come back, nothing else.
+    """Mixture weights by bucket (rows of 1), from expectation-maximisation on rows of packed events; one sum for each weight comes back.
 
     A bucket with few events leans on the weights of all buckets, by EM_PRIOR events.
     """
@@ -364,10 +441,13 @@ def maximise(events: DataFrame) -> np.ndarray:
                     share = joint / np.maximum(joint.sum(1), 1e-300)[:, None]
                     for k in range(ORDER + 1):
                         uses[:, k] += np.bincount(at, share[:, k], len(now))
-            yield pa.RecordBatch.from_arrays([pa.array([uses.tobytes()], pa.binary())], names=["uses"])
+            cells = np.flatnonzero(uses)
+            yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(uses.ravel()[cells])], names=["cell", "uses"])
 
-        got = events.mapInArrow(step, "uses binary").collect()
-        uses = sum((np.frombuffer(r.uses).reshape(now.shape) for r in got), np.zeros_like(now))
+        uses = np.zeros(now.size)
+        for cell, total in events.mapInArrow(step, "cell bigint, uses double").groupBy("cell").agg(F.sum("uses")).collect():
+            uses[cell] = total
+        uses = uses.reshape(now.shape)
         pooled = (uses.sum(0) + 1e-3) / (uses.sum() + 1e-3 * (ORDER + 1))
         uses = (uses + EM_PRIOR * pooled) * may
         weights = uses / uses.sum(1, keepdims=True)
@@ -386,11 +466,7 @@ def score_documents(docs: DataFrame, folds: int = 5, held_out_fold: int = 1) ->
     held = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("em")), F.lit(HELD_ONE_IN)) == 0
     kind = F.when(fold.isNull() | (fold == held_out_fold), SCORED).when(held, HELD).otherwise(ESTIMATION)
     src = docs.select("doc_id", F.col("text").cast("string").alias("text"), kind.cast("int").alias("kind"))
-    tasks = 2 * buckets  # by the size of the input, so that a task holds few buckets or blocks at any size
-    found = written(answers(requests(src, buckets, bits).repartition(tasks, "key")), "counts")
-    stats = [np.frombuffer(r.parts[0], np.int64) for r in found.where("block is null").select("parts").collect()]  # five numbers a bucket
-    n_est, n, texts_est, texts, v = (int(x) for x in sum(stats, np.zeros(5, np.int64)))
-    blocks = found.where("block is not null").repartition(tasks, "block")
+    blocks, (n_est, n, texts_est, texts, v) = exchange(src, buckets, bits)
 
     def events(table: pa.Table) -> pa.Table:
         rows = [(squeeze(p.astype(np.float32).tobytes()), pack(bucket)) for p, bucket in Block(table, bits, estimation=True).estimates(n_est, texts_est)]

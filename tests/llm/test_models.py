@@ -121,7 +121,8 @@ def test_language_model_equals_brute_force(spark, monkeypatch):
     want, alone, chance, vocabulary = brute_force_scores(rows)
     for context in ((None, None), (None, b"a"), (b"a", b"b"), (b"zz", b"a"), (b"zz", b"zz")):
         assert math.isclose(sum(chance(*context, w) for w in [*vocabulary, b"zz"]), 1, rel_tol=1e-9)  # "zz" stands for all unknown words
-    for limits in ({}, {"BLOCK_CHARS": 20_000, "BUCKET_CHARS": 40_000, "LEAST_CHARS": 40_000}):
+    small = {"BLOCK_CHARS": 20_000, "BUCKET_CHARS": 40_000, "LEAST_CHARS": 40_000}
+    for limits in ({}, small, small | {"FAN": 1}):  # the last by way of nodes
         for name, value in limits.items():
             monkeypatch.setattr(language_model, name, value)
         got = language_model.score_documents(df).collect()
