@@ -151,7 +151,15 @@ def _(t: Tables) -> DataFrame:
     return health.analysed(health.metadata(t.entities, "brand"), F.lit(980000.0))
 
 
-@query("g6_recommendations", "brand:s advice:s")
+ADVICE = f"""
+select brand, concat_ws(' | ', case state when 'stale' then 'Perform incremental scan to update stale entities' when 'inconsistent' then 'Run consistency validation and repair'
+    else case when round(health_score, 6) < 0.7 then 'Consider incremental scan to improve collection health' else 'Collection is healthy - enable real-time sync monitoring' end end,
+  case when state = 'stale' and age_hours > 72 then 'Consider full rescan due to extended staleness' end, case when state = 'inconsistent' and unknown_ratio > 0.5 then 'Check parser configuration for supported file types' end,
+  case when types <= 1 then 'Verify parser is extracting diverse entity types' end) as advice
+from ({HEALTH}) join (select brand, {META[7:]} from $ENT group by brand) using (brand)"""
+
+
+@query("g6_recommendations", "brand:s advice:s", ADVICE)
 def _(t: Tables) -> DataFrame:
     return health.analysed(health.metadata(t.entities, "brand"), F.lit(980000.0)).select("brand", F.array_join("recommendations", " | ").alias("advice"))
 
@@ -339,7 +347,14 @@ def _(t: Tables) -> DataFrame:
     return t.documents.groupBy("lang").agg(F.avg(score).alias("mean"), F.count_if(score > 0.8).alias("high"))
 
 
-@query("a16_project_tree", "line_no:i line:s")
+TREE = """
+with f as (select distinct regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '') as path from pages), q as (select string_split(path, '/') as parts from f where path not like '%/'),
+n as (select distinct parts[1:i] as p, i < len(parts) as folder from (select parts, unnest(range(1, least(len(parts), 5) + 1)) as i from q)),
+k as (select array_to_string(list_transform(p, lambda x, j: case when folder or j < len(p) then '0' else '1' end || x), '/') as k, repeat('  ', len(p) - 1) || p[len(p)] || case when folder then '/' else '' end as line from n)
+select row_number() over (order by k) as line_no, line from (select * from k order by k limit 1000)"""
+
+
+@query("a16_project_tree", "line_no:i line:s", TREE)
 def _(t: Tables) -> DataFrame:
     bare = F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), "[?#].*$", "")
     return workspace.project_tree(t.pages.select(bare.alias("file_path")).where("file_path not like '%/'").distinct())

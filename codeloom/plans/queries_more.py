@@ -114,7 +114,7 @@ def _(t: Tables) -> DataFrame:
     return t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select(ids.raw_id(F.lit("contains"), F.col("r_name"), F.col("n_name")).alias("id")).distinct()
 
 
-@query("v20_query_key", "a:s n:i", None)
+@query("v20_query_key", "a:s n:i", "select left(sha256(cast(json_object('collection', p_brand, 'limit', 10, 'query', p_name) as varchar)), 16) as a, count(*) as n from part group by 1")
 def _(t: Tables) -> DataFrame:
     return t.part.groupBy(ids.query_key(collection=F.col("p_brand"), query=F.col("p_name"), limit=F.lit(10)).alias("a")).agg(F.count("*").alias("n"))
 
@@ -128,7 +128,11 @@ def _(t: Tables) -> DataFrame:
     return tags(t).groupBy("tag").agg(n("id")("ids"), n("class")("classes"), n("href")("hrefs"))
 
 
-@query("x44_selector_parts", "s:s classes:s ids:s elements:s pseudo:s")
+PARTS = "array_to_string(regexp_extract_all(s, '{0}', {1}), ',') as {2}".format
+CUT = ", ".join((PARTS("[.]([a-zA-Z_-]+)", 1, "classes"), PARTS("#([a-zA-Z_-]+)", 1, "ids"), PARTS("(^|[^#.a-zA-Z0-9_-])([a-zA-Z][a-zA-Z0-9_-]*)", 2, "elements"), PARTS(":+([a-z-]+)", 1, "pseudo")))
+
+
+@query("x44_selector_parts", "s:s classes:s ids:s elements:s pseudo:s", f"select s, {CUT} from (select unnest({list(SELECTORS)}) as s)")
 def _(t: Tables) -> DataFrame:
     s = F.col("s")
     return t.rows([(x,) for x in SELECTORS], "s string").select("s", *(F.array_join(c, ",").alias(n) for n, c in (("classes", markup.selector_parts(s, ".")), ("ids", markup.selector_parts(s, "#")), ("elements", markup.selector_parts(s, "")), ("pseudo", F.concat(markup.pseudo_classes(s), markup.pseudo_elements(s))))))
@@ -156,10 +160,15 @@ def _(t: Tables) -> DataFrame:
     return documents.flattened(t.events, "event_id", "props", 3)
 
 
-@query("x46_at_rules", "s:s type:s name:s")
+RULES = ("@media screen and (min-width: 3px) {", "@keyframes spin {", '@import url("x.css");', '@charset "utf-8";', "@supports (display: grid) {", "@page {")
+NAMED = f"""
+select s, type, case type when 'import' then regexp_extract(rest, '"([^"]+)"', 1) when 'supports' then trim(rest, '()') when 'page' then type else rest end as name
+from (select s, regexp_extract(s, '@([a-z]+)', 1) as type, trim(regexp_replace(s, '^@[a-z]+|[{{;]$', '', 'g')) as rest from (select unnest({list(RULES)}) as s))"""
+
+
+@query("x46_at_rules", "s:s type:s name:s", NAMED)
 def _(t: Tables) -> DataFrame:
-    rules = ["@media screen and (min-width: 3px) {", "@keyframes spin {", '@import url("x.css");', '@charset "utf-8";', "@supports (display: grid) {", "@page {"]
-    return t.rows([(x,) for x in rules], "s string").select("s", markup.at_rule(F.col("s")).alias("r")).select("s", "r.type", "r.name")
+    return t.rows([(x,) for x in RULES], "s string").select("s", markup.at_rule(F.col("s")).alias("r")).select("s", "r.type", "r.name")
 
 
 CODE = "import os\nLIMIT_A = {0}\nclass Doc{0}(Base):\n    def get(self):\n        return os.path.join('a')\n"
@@ -205,7 +214,13 @@ language_query("e10_css_entities", ".css", "@import url(\"a.css\");\n.NAME { col
 language_query("e12_yaml_entities", ".yaml", "NAME:\n  port: 1\n", [("module", "f@.yaml"), ("class", "NAME"), ("constant", "port")])
 
 
-@query("s12_query_similarity", "a:i b:i similarity:f", None)
+JACCARD = """
+with w as (select item_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> '')) as w from benchmark)
+select a.item_id as a, b.item_id as b, case when len(a.w) = 0 or len(b.w) = 0 then 0.0 else len(list_intersect(a.w, b.w)) / cast(len(list_distinct(list_concat(a.w, b.w))) as double) end as similarity
+from w a join w b on b.item_id = a.item_id + 1"""
+
+
+@query("s12_query_similarity", "a:i b:i similarity:f", JACCARD)
 def _(t: Tables) -> DataFrame:
     b = t.benchmark
     return b.select(F.col("item_id").alias("a"), F.col("text").alias("x")).join(b.select(F.col("item_id").alias("b"), F.col("text").alias("y")), F.col("b") == F.col("a") + 1).select("a", "b", text.jaccard(F.col("x"), F.col("y")).alias("similarity"))

@@ -76,7 +76,14 @@ def _(t: Tables) -> DataFrame:
     return asked(t).select("query", text.analyse(F.col("query")).alias("a")).select("query", "a.cleaned", "a.word_count", F.array_join("a.patterns", ",").alias("patterns"), "a.mode", "a.confidence")
 
 
-@query("p8_mode_explanations", "query:s why:s")
+EXPLAINED = f"""
+select query, case when mode = 'payload' and contains(patterns, 'exact:') then 'Exact search: the query has exact-match marks ' || shown
+  when mode = 'payload' and word_count <= 2 then 'Keyword search: a short query of ' || word_count || ' words' when mode = 'payload' then 'Keyword search: file or code marks ' || shown
+  when mode = 'semantic' and contains(patterns, 'semantic:') then 'Semantic search: natural-language marks ' || shown when mode = 'semantic' then 'Semantic search: a long query of ' || word_count || ' words'
+  else 'Hybrid search: keyword and vector results for ' || word_count || ' words' end as why from (select *, '[' || replace(patterns, ',', ', ') || ']' as shown from ({ANALYSIS}))"""
+
+
+@query("p8_mode_explanations", "query:s why:s", EXPLAINED)
 def _(t: Tables) -> DataFrame:
     return asked(t).select("query", text.explain_mode(text.analyse(F.col("query"))).alias("why"))
 
@@ -103,7 +110,15 @@ def _(t: Tables) -> DataFrame:
     return w.groupBy(text.stem(F.col("w")).alias("stem")).agg(F.count("*").alias("n"))
 
 
-@query("s11_related_queries", "a:s b:s", None)
+LONG = "list_filter(regexp_split_to_array({0}, '\\s+'), lambda w: length(w) >= 3)"
+RELATED = f"""
+with q as (select query, lower(trim(query)) as low from {ASKED}), w as (select query, w, {STEM} as stem from (select query, unnest({LONG.format('low')}) as w from q)),
+shared as (select distinct x.query as a, y.query as b from w x join w y on x.w = y.w or (length(x.w) >= 4 and (contains(y.w, x.w) or contains(x.w, y.w)))
+  or (length(x.w) >= 4 and length(y.w) >= 4 and left(x.w, 4) = left(y.w, 4)) or (length(x.w) > 3 and length(y.w) > 3 and x.stem = y.stem and length(x.stem) > 2))
+select x.query as a, y.query as b from q x join q y on x.low <> y.low where contains(y.low, x.low) or contains(x.low, y.low) or exists (select 1 from shared s where s.a = x.query and s.b = y.query)"""
+
+
+@query("s11_related_queries", "a:s b:s", RELATED)
 def _(t: Tables) -> DataFrame:
     a, b = asked(t).toDF("a"), F.broadcast(asked(t).toDF("b"))
     return a.join(b, text.related(F.col("a"), F.col("b")))
@@ -292,7 +307,11 @@ def _(t: Tables) -> DataFrame:
     return t.rows([(x,) for x in SELECTORS], "s string").select("s", markup.selector_class(s).alias("class"), F.array_join(markup.combinators(s), ",").alias("combinators"))
 
 
-@query("x41_specificity", "s:s ids:i classes:i elements:i total:i")
+COUNTED = """len(regexp_extract_all(s, '#[a-zA-Z_-]+')) as ids, len(regexp_extract_all(s, '[.][a-zA-Z_-]+')) + len(regexp_extract_all(s, ':+[a-z-]+')) + len(string_split(s, '[')) - 1 as classes,
+  len(regexp_extract_all(s, '(^|[^#.a-zA-Z0-9_-])([a-zA-Z][a-zA-Z0-9_-]*|[*])')) as elements"""
+
+
+@query("x41_specificity", "s:s ids:i classes:i elements:i total:i", f"select *, ids * 100 + classes * 10 + elements as total from (select s, {COUNTED} from {CHOSEN})")
 def _(t: Tables) -> DataFrame:
     return t.rows([(x,) for x in SELECTORS], "s string").select("s", markup.specificity(F.col("s")).alias("x")).select("s", "x.*")
 
