@@ -26,10 +26,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import LETTERS, chunks, fold_of, hash_share, map_texts
+from codeloom.llm.common import LETTERS, chunks, fold_of, hash_share, map_texts, written
 
 # Seed words of the classes, in four languages.
 INSULTS = (
@@ -197,11 +198,15 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 def without_near_copies(rows: DataFrame) -> DataFrame:
-    """Keeps one row (text, toxic) of those with an equal minimum hash of three-word runs, under three hashes in turn."""
+    """Keeps one row (text, toxic) of those with an equal minimum hash of three-word runs, under three hashes in turn.
+
+    rows: a bounded sample.  It is written once; only its hashes, four numbers a row, come to the driver.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
+        row = TaskContext.get().partitionId() << 32
         for cut, texts in chunks(batches):
             mins = np.zeros((len(texts), 3), np.uint64)
             for i, text in enumerate(texts):
@@ -209,12 +214,15 @@ def without_near_copies(rows: DataFrame) -> DataFrame:
                 h = np.fromiter((xxhash.xxh64_intdigest(" ".join(w)) for w in {*zip(words, words[1:], words[2:])} or {tuple(words)}), np.uint64)
                 if len(h):
                     mins[i] = [mix64(h ^ np.uint64(salt)).min() for salt in (0, 0x5851F42D4C957F2D, 0x14057B7EF767814F)]
-            yield pa.RecordBatch.from_arrays([cut.column("text"), cut.column("toxic"), *(pa.array(mins[:, j].astype(np.int64)) for j in range(3))], names=["text", "toxic", "m0", "m1", "m2"])
+            yield pa.RecordBatch.from_arrays([cut.column("text"), cut.column("toxic"), pa.array(np.arange(row, row + len(texts))), *(pa.array(mins[:, j].astype(np.int64)) for j in range(3))], names=["text", "toxic", "row", "m0", "m1", "m2"])
+            row += len(texts)
 
-    out = rows.mapInArrow(run, "text string, toxic int, m0 bigint, m1 bigint, m2 bigint")
+    sample = written(rows.mapInArrow(run, "text string, toxic int, row bigint, m0 bigint, m1 bigint, m2 bigint"), "training-sample")
+    marks = sample.select("row", "m0", "m1", "m2").toPandas().sort_values(["m0", "m1", "m2", "row"])
     for c in ("m0", "m1", "m2"):
-        out = out.dropDuplicates([c])
-    return out.select("text", "toxic")
+        marks = marks.drop_duplicates(c)
+    kept = rows.sparkSession.createDataFrame([(int(r),) for r in marks["row"]], "row bigint")
+    return sample.join(F.broadcast(kept), "row", "left_semi").select("text", "toxic")
 
 
 def learn(labelled: DataFrame, max_patterns: int = MAX_PATTERNS) -> Scorer:
