@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import LETTERS, chunks, map_texts
+from codeloom.llm.common import LETTERS, chunks, map_texts, written
 
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -167,7 +167,11 @@ def added_spans(text: str, base: list[tuple[int, int, int]], ranks: dict[str, fl
 
 
 def train_ranks(docs: DataFrame, max_words: int = MAX_WORDS) -> dict[str, float]:
-    """log10 rank of words by frequency in all documents, the first `max_words`; common passwords come first."""
+    """log10 rank of words by frequency in all documents; common passwords come first.
+
+    At most `max_words`: a histogram of the counts, by 64ths of an octave, tells from which count on there are that
+    many, so neither a sort of all words nor a top k of each task comes to the driver.  Words of one level stay together.
+    """
 
     def counted(tally: Counter) -> pa.RecordBatch:
         return pa.RecordBatch.from_pydict({"word": list(tally), "n": list(tally.values())}, pa.schema([("word", pa.string()), ("n", pa.int64())]))
@@ -183,8 +187,16 @@ def train_ranks(docs: DataFrame, max_words: int = MAX_WORDS) -> dict[str, float]
         yield counted(tally)
 
     text = F.col("text").cast("string").alias("text")
-    top = docs.select(text).mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(max_words).collect()
-    words = dict.fromkeys([*COMMON, *(r.word for r in top)])
+    words = written(docs.select(text).mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    level = F.floor(F.log2("n") * 64)
+    least, room = None, max_words
+    for at, size in sorted(words.groupBy(level.alias("at")).count().collect(), reverse=True):  # below 4,000 rows at any size
+        room -= size
+        if room < 0:
+            break
+        least = at
+    top = [] if least is None else words.where(level >= least).collect()
+    words = dict.fromkeys([*COMMON, *(r.word for r in sorted(top, key=lambda r: (-r.n, r.word)))])
     return {w: math.log10(i + 2) for i, w in enumerate(words)}
 
 

@@ -143,6 +143,9 @@ def test_ranks_count_every_document(spark):
     rows = [(i, w) for i, w in enumerate(words)] + [(len(words), "often often")]
     ranks = secrets.train_ranks(spark.createDataFrame(rows, "doc_id bigint, text string"))
     assert set(words) <= set(ranks) and ranks["often"] < min(ranks[w] for w in words if w not in secrets.COMMON)
+    few = secrets.train_ranks(spark.createDataFrame([(0, "top top top top mid mid mid low low one two six")], "doc_id bigint, text string"), max_words=4)
+    assert sorted(set(few) - set(secrets.COMMON)) == ["low", "mid", "top"] and few["top"] < few["mid"] < few["low"]  # the words that occur once would be too many
+    assert set(secrets.train_ranks(spark.createDataFrame([(0, None)], "doc_id bigint, text string"))) == set(secrets.COMMON)
 
 
 @settings(max_examples=300, deadline=None)
