@@ -37,7 +37,7 @@ STORED = "entity_id string, entity_name string, qualified_name string, entity_ty
 
 def parse_files(spark: SparkSession, project: Project, paths: DataFrame, now: float) -> DataFrame:
     """Entities of the given paths (file_path), stamped."""
-    files = workspace.texts(spark, project.folder).join(paths.select("file_path"), "file_path", "left_semi")
+    files = workspace.texts_of(spark, project.folder, paths)
     return registry.entities(files).withColumn("indexed_at", F.lit(now))
 
 
@@ -50,7 +50,7 @@ def delta_scan(spark: SparkSession, project: Project, now: float) -> dict[str, i
     """Brings the code, relation and embedding collections up to date; one new version each.
 
     Entities of deleted and of modified files go, those of added and modified files
-    come; nothing else is parsed or embedded.
+    come; nothing else is read, parsed or embedded, and without changes nothing is written.
     """
     code = project.collection(spark)
     fresh = vectors_schema = None
@@ -62,6 +62,11 @@ def delta_scan(spark: SparkSession, project: Project, now: float) -> dict[str, i
     found = sources(spark, project).cache()
     current = code.read()
     changes = delta.file_delta(found, current.select("file_path", "indexed_at"), project.tolerance).cache()
+    out = dict.fromkeys(("added", "modified", "deleted", "unchanged"), 0) | {r.change_type: r.n for r in changes.groupBy("change_type").agg(F.count("*").alias("n")).collect()}
+    if not out["added"] + out["modified"] + out["deleted"]:
+        found.unpersist()
+        changes.unpersist()
+        return out | {"entities": code.count()}
     gone = changes.where(F.col("change_type").isin("deleted", "modified"))
     come = changes.where(F.col("change_type").isin("added", "modified"))
     fresh = delta.keep_last(parse_files(spark, project, come, now), ["entity_id"], ["start_line"])
@@ -70,18 +75,16 @@ def delta_scan(spark: SparkSession, project: Project, now: float) -> dict[str, i
     for kind, new in (("code", fresh), ("relations", None), ("embeddings", None)):
         c = project.collection(spark, kind)
         if kind == "relations":
-            files = workspace.texts(spark, project.folder).join(come.select("file_path"), "file_path", "left_semi")
-            new = registry.relations(files).dropDuplicates(["id"])
+            new = registry.relations(workspace.texts_of(spark, project.folder, come)).dropDuplicates(["id"])
         elif kind == "embeddings":
             rows = code.read().join(come.select("file_path"), "file_path", "left_semi").select("entity_id", "file_path", F.concat_ws(" ", "entity_type", "qualified_name", "signature", "docstring").alias("text"))
             new = vectors.embed(rows, dimensions=project.dimensions, model=project.embedder).select("entity_id", "file_path", "vector")
         cols = names if kind == "code" else c.schema().names
         kept = c.read().join(gone.select("file_path"), "file_path", "left_anti")
         c._write(kept.select(*cols).unionByName(new.select(*cols)))
-    out = {r.change_type: r.n for r in changes.groupBy("change_type").agg(F.count("*").alias("n")).collect()}
     found.unpersist()
     changes.unpersist()
-    return {k: out.get(k, 0) for k in ("added", "modified", "deleted", "unchanged")} | {"entities": code.count()}
+    return out | {"entities": code.count()}
 
 
 def repair(spark: SparkSession, project: Project, now: float) -> dict[str, int]:

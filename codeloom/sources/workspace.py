@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
@@ -23,12 +25,14 @@ IGNORED_FOLDERS = (
 )
 ENCODINGS = ("utf-8", "utf-8-sig", "latin-1", "cp1252", "iso-8859-1")
 MAX_BYTES = 10 << 20
+LISTED = 10_000
+GLOB = r"[\\{}\[\]*?]"
 KEY_FILES = ("README.md", "package.json", "pyproject.toml", "setup.py", "Cargo.toml", "go.mod", "pom.xml", "Makefile", "Dockerfile", "requirements.txt")
 
 
-def files(spark: SparkSession, folder: str) -> DataFrame:
-    """path, modificationTime, length, content of all files below a folder; the content is read only where it is selected."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true").load(folder)
+def files(spark: SparkSession, *paths: str) -> DataFrame:
+    """path, modificationTime, length, content of these files, and of all files below these folders; the content is read only where it is selected."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreMissingFiles", "true").load(list(paths))
 
 
 def relative(path: Column, folder: str) -> Column:
@@ -98,13 +102,26 @@ def decode(content: Column) -> Column:
     return run(content)
 
 
-
-def texts(spark: SparkSession, folder: str, extensions: tuple[str, ...] | None = None) -> DataFrame:
-    """file_path, content (text), file_hash, size of readable files."""
-    rows = files(spark, folder).select(relative(F.col("path"), folder).alias("file_path"), "content", F.col("length").alias("size")).where(is_scanned(F.col("file_path"), extensions) & is_valid(F.col("size")))
+def texts(spark: SparkSession, folder: str, extensions: tuple[str, ...] | None = None, among: list[str] | None = None) -> DataFrame:
+    """file_path, content (text), file_hash, size of readable files; `among` these paths below the folder only, where given."""
+    found = files(spark, folder) if among is None else files(spark, *(f"{folder.rstrip('/')}/{re.sub(GLOB, r'\\\g<0>', p)}" for p in among))
+    rows = found.select(relative(F.col("path"), folder).alias("file_path"), "content", F.col("length").alias("size")).where(is_scanned(F.col("file_path"), extensions) & is_valid(F.col("size")))
     return rows.select("file_path", decode(F.col("content")).alias("content"), F.substring(F.sha2("content", 256), 1, 16).alias("file_hash"), "size").where("content is not null")
 
 
+def texts_of(spark: SparkSession, folder: str, paths: DataFrame) -> DataFrame:
+    """texts() of the files named in paths (file_path): up to `LISTED` of them are opened by name, so that the others are not read; more by one pass over the folder."""
+    some = [r.file_path for r in paths.select("file_path").limit(LISTED + 1).collect()]
+    if not some:
+        return texts(spark, folder).limit(0)
+    if len(some) <= LISTED:
+        try:
+            return texts(spark, folder, among=some)
+        except AnalysisException:  # one is gone since it was listed
+            pass
+    return texts(spark, folder).join(paths.select("file_path"), "file_path", "left_semi")
+
+
 def truncated(text: Column, limit: int) -> Column:
     return F.when(F.length(text) > limit, F.concat(F.left(text, F.lit(limit)), F.lit("\n... [truncated]"))).otherwise(text)
 

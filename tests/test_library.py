@@ -121,11 +121,30 @@ def test_index_search_and_delta(spark, project):
     assert indexing.validate(spark, project).where("issue_type = 'orphaned_entity'").count() == 2
     got = indexing.delta_scan(spark, project, now + 200)
     assert (got["modified"], got["deleted"], got["entities"]) == (1, 1, 1)
+    version = project.collection(spark).version()
+    indexing.delta_scan(spark, project, now + 300)
+    assert project.collection(spark).version() == version  # nothing changed, nothing written
     names = {r.entity_name for r in project.collection(spark).read().collect()}
     assert names == {"other"} and project.collection(spark, "embeddings").count() == 1
     assert indexing.status(spark, project, now + 200).first().state == "healthy"
 
 
+def test_texts_of_named_files(spark, tmp_path, monkeypatch):
+    from codeloom.sources import workspace
+
+    (tmp_path / "a b").mkdir()
+    for name in ("a b/x[1].py", "{y}*.py", "z.py", "é?.py"):
+        (tmp_path / name).write_text(name)
+    paths = spark.createDataFrame([("a b/x[1].py",), ("{y}*.py",), ("é?.py",)], "file_path string")
+    for most in (workspace.LISTED, 1):
+        monkeypatch.setattr(workspace, "LISTED", most)
+        got = {r.file_path: r.content for r in workspace.texts_of(spark, str(tmp_path), paths).collect()}
+        assert got == {n: n for n in ("a b/x[1].py", "{y}*.py", "é?.py")}
+    monkeypatch.undo()
+    gone = paths.unionByName(spark.createDataFrame([("gone.py",)], "file_path string"))
+    assert workspace.texts_of(spark, str(tmp_path), gone).count() == 3 and workspace.texts_of(spark, str(tmp_path), paths.limit(0)).count() == 0
+
+
 def test_embedders(spark):
     df = spark.createDataFrame([(1, "read the file"), (2, "read the file"), (3, ""), (4, None)], "i int, text string")
     got = {r.i: r.vector for r in vectors.embed(df, dimensions=16).collect()}
