@@ -109,12 +109,23 @@ def filter_rows(df: DataFrame, verdict: Callable[[list[str], object], Iterable[b
     return df.mapInArrow(run, df.schema)
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir, which all executors share; in local tests one below the warehouse."""
+def work_folder(spark: SparkSession) -> str:
+    """This application's folder below spark.checkpoint.dir, which all executors share; in local tests below the warehouse."""
     root = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
     if not root:
         root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/{spark.sparkContext.applicationId}"
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the application's."""
+    return f"{work_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def remove_work(spark: SparkSession) -> None:
+    """Deletes all sub-results of this application; for when no DataFrame that reads them is needed any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(work_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, name: str, *partition_by: str) -> DataFrame:

@@ -233,3 +233,15 @@ def test_rollup_query_matches_sql(spark):
 def test_word_counts(docs):
     got = {r.doc_id: r.n for r in docs.select("doc_id", rollup.n_words(F.col("text")).alias("n")).collect()}
     assert got[1] == 23 and got[5] == 0 and got[8] == 0 and got[7] == 1
+
+
+def test_work_can_be_removed(spark, docs):
+    import os
+
+    from codeloom.llm import common
+
+    path = common.shared_folder(spark, "x").removeprefix("file:")
+    assert common.written(docs.select("doc_id"), "some").count() == 11
+    assert os.listdir(os.path.dirname(path))
+    common.remove_work(spark)
+    assert not os.path.exists(os.path.dirname(path))
