@@ -241,11 +241,10 @@ def _(t: Tables) -> DataFrame:
 WORDS = "list_distinct(list_filter(regexp_split_to_array(lower({0}), '\\s+'), lambda w: w <> ''))"
 
 
-@query("r15_jaccard", "a:s b:s similarity:f", f"select a, b, case when len(x) = 0 or len(y) = 0 then 0 else len(list_intersect(x, y))::double / len(list_distinct(list_concat(x, y))) end as similarity from (select a.p_name as a, b.p_name as b, {WORDS.format('a.p_name')} as x, {WORDS.format('b.p_name')} as y from (select distinct p_name from part) a, (select distinct p_name from part) b)")
+@query("r15_jaccard", "a:s b:s similarity:f", f"select a, b, case when len(x) = 0 or len(y) = 0 then 0 else len(list_intersect(x, y))::double / len(list_distinct(list_concat(x, y))) end as similarity from (select a.query as a, b.p_name as b, {WORDS.format('a.query')} as x, {WORDS.format('b.p_name')} as y from $QRY a, (select distinct p_name from part) b)")
 def _(t: Tables) -> DataFrame:
-    names = t.part.select("p_name").distinct()
-    a, b = names.toDF("a"), F.broadcast(names.toDF("b"))
-    return a.join(b).select("a", "b", jaccard(F.col("a"), F.col("b")).alias("similarity"))
+    a, b = F.broadcast(t.queries.toDF("a")), t.part.select("p_name").distinct().toDF("b")
+    return b.join(a).select("a", "b", jaccard(F.col("a"), F.col("b")).alias("similarity"))
 
 
 @query(
