@@ -28,21 +28,35 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
+def with_tokens(rows: DataFrame, *columns: str) -> DataFrame:
+    """rows with the tokens of text columns beside them, so that a join splits each text once and not once a pair."""
+    return rows.withColumns({f"__{c}": tokens(F.col(c)) for c in columns})
+
+
 def token_match(text: Column, query: Column) -> Column:
-    """Every token of the query begins some token of the text; false for a query without tokens."""
-    q, t = tokens(query), tokens(text)
-    return (F.size(q) > 0) & F.forall(q, lambda a: F.exists(t, lambda b: b.startswith(a)))
+    """Every token of the query begins some token of the text (both as tokens); false for a query without tokens."""
+    return (F.size(query) > 0) & F.forall(query, lambda a: F.exists(text, lambda b: b.startswith(a)))
+
 
+def payload_match() -> Column:
+    """Tiers by query length: equal names always, name tokens from 3 characters, content tokens from 5.
 
-def payload_match(query: Column) -> Column:
-    """Tiers by query length: equal names always, name tokens from 3 characters, content tokens from 5."""
-    name, qualified = F.col("entity_name"), F.col("qualified_name")
-    exact = (name == query) | (qualified == query)
-    prefix = (F.length(query) >= 3) & (token_match(name, query) | token_match(qualified, query))
-    content = (F.length(query) >= 5) & (token_match(F.col("signature"), query) | token_match(F.col("docstring"), query))
+    For entities and queries with_tokens of their fields and of `query`.
+    """
+    query, begins = F.col("query"), lambda field: token_match(F.col(f"__{field}"), F.col("__query"))
+    exact = (F.col("entity_name") == query) | (F.col("qualified_name") == query)
+    prefix = (F.length(query) >= 3) & (begins("entity_name") | begins("qualified_name"))
+    content = (F.length(query) >= 5) & (begins("signature") | begins("docstring"))
     return F.coalesce(exact, F.lit(False)) | F.coalesce(prefix, F.lit(False)) | F.coalesce(content, F.lit(False))
 
 
+def payload_matches(entities: DataFrame, queries: DataFrame) -> Iterator[DataFrame]:
+    """Pairs of an entity and a query that matches it, by blocks of queries."""
+    rows = with_tokens(entities, *FIELD_WEIGHTS)
+    extra = [f"__{c}" for c in (*FIELD_WEIGHTS, "query")]
+    return (rows.join(F.broadcast(with_tokens(q, "query")), payload_match()).drop(*extra) for q in query_blocks(queries.select("query")))
+
+
 def payload_score(query: Column) -> Column:
     q = F.lower(F.trim(query))
     total = F.lit(0.0)
@@ -64,7 +78,7 @@ def query_blocks(queries: DataFrame) -> Iterator[DataFrame]:
     n = queries.count()
     blocks = -(-n // BROADCAST_ROWS)
     for i in range(blocks):
-        yield F.broadcast(queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == i))
+        yield queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == i)
 
 
 def top_k(scored: DataFrame, k: int, *by: str) -> DataFrame:
@@ -76,7 +90,7 @@ def top_k(scored: DataFrame, k: int, *by: str) -> DataFrame:
 def payload_search(entities: DataFrame, queries: DataFrame, k: int = 10, filters: dict | None = None) -> DataFrame:
     """query, entity_id, score, rank: the true top k of each query."""
     rows = entities.where(equals(filters or {}))
-    parts = [rows.join(q, payload_match(F.col("query"))).select("query", "entity_id", F.round(payload_score(F.col("query")), 6).alias("score")) for q in query_blocks(queries.select("query"))]
+    parts = [m.select("query", "entity_id", F.round(payload_score(F.col("query")), 6).alias("score")) for m in payload_matches(rows, queries)]
     return top_k(reduce(DataFrame.unionByName, parts), k, "query") if parts else rows.select(F.lit("").alias("query"), "entity_id", F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,7 +63,7 @@ query("payload_search", "query:s entity_id:s score:f rank:i", PAYLOAD)(payload)
 
 @query("c1_payload_match", "query:s matches:i", f"select query, count(*) as matches from $ENT e, $QRY q where {PAYLOAD_MATCH} group by query")
 def _(t: Tables) -> DataFrame:
-    return t.entities.join(F.broadcast(t.queries), search.payload_match(F.col("query"))).groupBy("query").agg(F.count("*").alias("matches"))
+    return reduce(DataFrame.unionByName, search.payload_matches(t.entities, t.queries)).groupBy("query").agg(F.count("*").alias("matches"))
 
 
 @query("c2_filtered_search", "query:s entity_id:s score:f rank:i", TOP.format(RAW + " and entity_type in ('class', 'function')", 5))
