@@ -43,7 +43,8 @@ def deepest_repeats(rank: np.ndarray, doc: np.ndarray, least: int) -> np.ndarray
         return longest
     ends = np.searchsorted(doc, doc, side="right")  # end of each position's text
     order = np.argsort(rank, kind="stable")
-    first = np.empty(n, np.int64)
+    small = np.int32 if n < 1 << 30 else np.int64  # of places in the batch, of which every level keeps as many as there are words
+    first = np.empty(n, small)
     sorted_rank = rank[order]
     new = np.empty(n, bool)
     new[0] = True
@@ -52,7 +53,7 @@ def deepest_repeats(rank: np.ndarray, doc: np.ndarray, least: int) -> np.ndarray
     levels = [first]
     tied = np.ones(n, bool)
     tied[order] = ~(new & np.append(new[1:], True))
-    live = np.flatnonzero(tied)
+    live = np.flatnonzero(tied).astype(small)
     k = 1
     active = [live]
     while len(live):
