@@ -6,16 +6,9 @@ import argparse
 import json
 import os
 import time
+from dataclasses import fields
 
-
-def load(path: str) -> dict:
-    """The project file, with CODELOOM_<KEY> environment variables over it, typed like its values."""
-    with open(path, encoding="utf-8") as f:
-        config = json.load(f)
-    for key, old in config.items():
-        if (v := os.environ.get(f"CODELOOM_{key.upper()}")) is not None:
-            config[key] = v.lower() in ("1", "true", "yes") if isinstance(old, bool) else type(old)(v) if isinstance(old, int | float | str) else json.loads(v)
-    return config
+from codeloom import config
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -36,7 +29,8 @@ def main(argv: list[str] | None = None) -> int:
     from codeloom.plans import indexing
 
     spark = SparkSession.builder.appName("codeloom").getOrCreate()
-    project = indexing.Project(**load(a.project))
+    known = {f.name for f in fields(indexing.Project)}
+    project = indexing.Project(**{k: v for k, v in config.load(a.project).items() if k in known})
     if a.command == "index":
         print(json.dumps(indexing.delta_scan(spark, project, time.time())))
     elif a.command == "status":

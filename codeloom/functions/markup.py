@@ -80,6 +80,17 @@ def uses_shadow_dom(a: Column) -> Column:
     return has(a, "slot") | has(a, "part") | has(a, "exportparts")
 
 
+def slots(html: Column) -> Column:
+    """array<string>: names of the slots in a component's markup, "default" for one without."""
+    found = F.filter(tags(html), lambda t: t["tag"] == "slot")
+    return F.transform(found, lambda t: F.coalesce(F.try_element_at(attributes(t["attributes"]), F.lit("name")), F.lit("default")))
+
+
+def is_self_closing(element: Column) -> Column:
+    """Whether the element's text ends with />."""
+    return F.endswith(element, F.lit("/>"))
+
+
 def accessibility(a: Column) -> Column:
     return F.map_filter(a, lambda k, v: k.startswith("aria-") | k.isin("alt", "title", "role", "tabindex"))
 

@@ -285,3 +285,28 @@ def test_nearest_equals_brute_force(spark, monkeypatch):
                 order = sorted((i for i in range(300) if not alone or i != q), key=lambda i: (-s[i, q], i))[:7]
                 want += [(q, n + 1, i) for n, i in enumerate(order)]
             assert got == want
+
+
+def test_slots(spark):
+    from codeloom.functions import markup
+
+    row = spark.createDataFrame([("<my-card><slot></slot><p><slot name='foot' class=x></slot></p><!-- <slot name=no> --></my-card>", "<br/>"), (None, "<p></p>")], "h string, e string")
+    got = row.select(markup.slots(F.col("h")).alias("s"), markup.is_self_closing(F.col("e")).alias("c")).collect()
+    assert got[0].s == ["default", "foot"] and [r.c for r in got] == [True, False] and got[1].s is None
+
+
+def test_config(tmp_path):
+    import json
+
+    from codeloom import config
+
+    path = tmp_path / "p.json"
+    path.write_text(json.dumps({"name": "x", "store": "${folder}/store", "include": ["${KIND}/*", "${none}"], "limits": {"mb": 5, "deep": {"on": True}}}))
+    env = {"KIND": "src", "CODELOOM_LIMITS__MB": "7", "CODELOOM_LIMITS__DEEP__ON": "no", "CODELOOM_NEW__LIST": "[1, 2]", "CODELOOM_NEW__TEXT": "plain", "CODELOOM_NEW__FLAG": "true", "CODELOOM_NAME": "12"}
+    got = config.load(str(path), {"limits": {"mb": 1, "files": 9}, "tolerance": 1.0}, env)
+    assert got["store"] == f"{tmp_path}/store" and got["include"] == ["src/*", "${none}"] and got["tolerance"] == 1.0 and got["name"] == "12"
+    assert got["limits"] == {"mb": 7, "files": 9, "deep": {"on": False}} and got["new"] == {"list": [1, 2], "text": "plain", "flag": True}
+    with pytest.raises(ValueError):
+        config.load(str(path), {}, {"CODELOOM_LIMITS__DEEP__ON": "perhaps"})
+    (tmp_path / "bad.json").write_text("[]")
+    assert config.projects(str(tmp_path)) == {"x": str(path)}
