@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 from codeloom.llm.common import cuts, fold_of, mix, written
 
 ORDER = 3
-BLOCK_CHARS, BUCKET_CHARS, LEAST_CHARS = 12_000_000, 12_000_000, 1_000_000
+BLOCK_CHARS, BUCKET_CHARS, LEAST_CHARS = 8_000_000, 8_000_000, 1_000_000
 SPARE_BITS, SLICE, ROWS, FAN = 16, 1 << 18, 16, 4096
 ESTIMATION, HELD, SCORED = 0, 1, 2
 HELD_ONE_IN = 20
