@@ -17,7 +17,7 @@ and kept as packed word numbers.  A block asks each bucket of hash values once f
 words and n-grams it holds, packed and sorted, and gets packed counts back.  So
 the text is read once and never shuffled, a shuffled entry is a distinct n-gram of
 a block, and no word or context makes a hot key: n-grams are dealt by their own hash,
-not by their context's.  Above `FAN` buckets (about 50 GB of text) the requests go
+not by their context's.  Above `FAN` buckets (about 30 GB of text) the requests go
 through nodes, two levels of sqrt(buckets) each, so a row holds about a thousand
 entries at 100 TB too.
 
