@@ -5,21 +5,57 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from codeloom.partitions import spread
+
 BLOCK = 1 << 12
 
 
+def top_level(start: Column, end: Column) -> Column:
+    """The highest level of stretches that start..end can be cut into."""
+    return F.length(F.bin(F.greatest(end - start + 1, F.lit(1)))) - 1
+
+
+def stretches(start: Column, end: Column) -> Column:
+    """The fewest aligned stretches (level, node) of 2^level positions that together are start..end: two a level at most, none if end < start.
+
+    A position lies in one stretch of each level, so it meets a span in exactly one of them, or in none.
+    """
+    shift = lambda x, k: F.call_function("shiftright", x, k)
+
+    def at_level(k: Column) -> Column:
+        low, high = shift(start + F.call_function("shiftleft", F.lit(1).cast("bigint"), k) - 1, k), shift(end + 1, k)
+        odd = lambda x: (low < high) & (x.bitwiseAND(1) == 1)
+        return F.array(F.when(odd(low), F.struct(k.alias("level"), low.alias("node"))), F.when(odd(high), F.struct(k.alias("level"), (high - 1).alias("node"))))
+
+    return F.array_compact(F.flatten(F.transform(F.sequence(F.lit(0), top_level(start, end)), at_level)))
+
+
+def cut(spans: DataFrame, start: str, end: str) -> DataFrame:
+    """spans with a row for each of their stretches (level, node)."""
+    return spans.withColumn("__s", F.explode(stretches(F.col(start), F.col(end)))).withColumns({"level": F.col("__s.level"), "node": F.col("__s.node")}).drop("__s")
+
+
+def placed(points: DataFrame, at: str, spans: DataFrame, start: str, end: str) -> DataFrame:
+    """points with a row for each stretch (level, node) around them, up to the highest level of the spans."""
+    top = F.broadcast(spans.agg(F.max(top_level(F.col(start), F.col(end))).alias("__top")))
+    out = points.crossJoin(top).withColumn("level", F.explode(F.sequence(F.lit(0), F.col("__top")))).drop("__top")
+    return out.withColumn("node", F.call_function("shiftright", F.col(at), F.col("level")))
+
+
 def containing(points: DataFrame, spans: DataFrame, file: str, at: str, start: str, end: str, key: str, span_id: str, pick: str = "first") -> DataFrame:
-    """key, span_id of a span of the same file that holds each point; the first by start, or the shortest.
+    """key, span_id of a span of the same file that holds each point; the first by start, or the shortest. Positions are whole numbers.
 
-    Spans are cut into blocks of the axis, so the join has an equality on (file,
-    block) and a large file is dealt over many tasks.
+    Of the spans with a stretch only the picked one is kept before the join, so a
+    point meets one row for each level, however many spans hold it.
     """
-    s = spans.select(F.col(file).alias("f"), F.col(start).alias("a"), F.col(end).alias("b"), F.col(span_id).alias("span_id"))
-    s = s.withColumn("block", F.explode(F.sequence(F.floor(F.col("a") / BLOCK), F.floor(F.col("b") / BLOCK))))
-    p = points.select(F.col(file).alias("f"), F.col(at).alias("at"), F.col(key).alias("key")).withColumn("block", F.floor(F.col("at") / BLOCK))
-    hit = p.join(s, ["f", "block"]).where("a <= at and at <= b")
+    long = lambda c, name: F.col(c).cast("bigint").alias(name)
+    s = spans.select(F.col(file).alias("f"), long(start, "a"), long(end, "b"), F.col(span_id).alias("span_id"))
+    s = spread(s, *s.columns).groupBy("f", "a", "b").agg(F.min_by("span_id", F.struct("span_id")).alias("span_id"))
+    p = spread(points.select(F.col(file).alias("f"), long(at, "at"), F.col(key).alias("key")), "key")
     order = F.struct("a", "span_id") if pick == "first" else F.struct(F.col("b") - F.col("a"), F.col("span_id"))
-    return hit.groupBy("key").agg(F.min_by("span_id", order).alias("span_id"))
+    best = cut(s.withColumn("best", order), "a", "b").groupBy("f", "level", "node").agg(F.min("best").alias("best"))
+    hit = placed(p.select("f", "at").distinct(), "at", s, "a", "b").join(best, ["f", "level", "node"]).groupBy("f", "at").agg(F.min("best").alias("best"))
+    return p.join(hit, ["f", "at"]).groupBy("key").agg(F.min("best")["span_id"].alias("span_id"))
 
 
 def overlapping(a: DataFrame, b: DataFrame, file: str, a_id: str, b_id: str) -> DataFrame:
