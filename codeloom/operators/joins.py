@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from codeloom.partitions import spread
 
-BLOCK = 1 << 12
+PAIRS = 1 << 20  # about so many pairs of a stretch go to one piece
 
 
 def top_level(start: Column, end: Column) -> Column:
@@ -59,10 +59,27 @@ def containing(points: DataFrame, spans: DataFrame, file: str, at: str, start: s
 
 
 def overlapping(a: DataFrame, b: DataFrame, file: str, a_id: str, b_id: str) -> DataFrame:
-    """a_id, b_id of spans (start_line, end_line) of one file that overlap; each pair once, in the block where the later one starts."""
-    cut = lambda df, i, name: df.select(F.col(file).alias("f"), F.col("start_line").alias(f"{name}0"), F.col("end_line").alias(f"{name}1"), F.col(i).alias(i)).withColumn("block", F.explode(F.sequence(F.floor(F.col(f"{name}0") / BLOCK), F.floor(F.col(f"{name}1") / BLOCK))))
-    hit = cut(a, a_id, "a").join(cut(b, b_id, "b"), ["f", "block"]).where("a0 <= b1 and b0 <= a1")
-    return hit.where(F.col("block") == F.floor(F.greatest("a0", "b0") / BLOCK)).select(a_id, b_id)
+    """a_id, b_id of spans (start_line, end_line) of one file that overlap; each pair once, in the stretch of one of them where the other one starts.
+
+    All pairs are the result, so the work is in proportion to them; a stretch with
+    many is dealt over several tasks.
+    """
+    lines = lambda df, i, name: df.select(F.col(file).alias("f"), F.col("start_line").cast("bigint").alias(f"{name}0"), F.col("end_line").cast("bigint").alias(f"{name}1"), F.col(i).alias(i))
+    x, y = lines(a, a_id, "a"), lines(b, b_id, "b")
+    hit = met(y, "b0", x, F.col("a0"), F.col("a1"), b_id).unionByName(met(x, "a0", y, F.col("b0") + 1, F.col("b1"), a_id))  # b starts in a, or a starts after b and in it
+    return hit.where("a0 <= b1 and b0 <= a1").select(a_id, b_id)
+
+
+def met(points: DataFrame, at: str, spans: DataFrame, start: Column, end: Column, point_id: str) -> DataFrame:
+    """The rows of both sides, together, for each span of a file f that holds a point of that file."""
+    on = ["f", "level", "node"]
+    s = spans.withColumns({"__from": start, "__to": end})
+    p, s = placed(points, at, s, "__from", "__to"), cut(s, "__from", "__to").drop("__from", "__to")
+    n = s.groupBy(on).agg(F.count("*").alias("spans")).join(p.groupBy(on).agg(F.count("*").alias("points")), on)
+    n = n.select(*on, F.least("points", F.ceil(F.col("spans") * F.col("points") / PAIRS)).alias("pieces"))
+    s = s.join(n, on).withColumn("piece", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("pieces") - 1))).drop("pieces")
+    p = p.join(n, on).withColumn("piece", F.pmod(F.xxhash64(point_id), F.col("pieces"))).drop("pieces")
+    return spread(p, *on, "piece").join(spread(s, *on, "piece"), [*on, "piece"])
 
 
 def first_match(left: DataFrame, right: DataFrame, on: str, value: str, order: str) -> DataFrame:

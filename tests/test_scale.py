@@ -18,3 +18,15 @@ def test_containing_spans(spark):
         assert dict(map(tuple, joins.containing(p, s, "file", "at", "a", "b", "key", "id", pick).collect())) == want
     wide = spark.createDataFrame([("f", -(1 << 61), 1 << 61, 7), ("f", 5, 9, 8)], s.schema)  # no row for each block of the axis
     assert dict(map(tuple, joins.containing(spark.createDataFrame([("f", 6, 1), ("f", 1 << 60, 2)], p.schema), wide, "file", "at", "a", "b", "key", "id", "shortest").collect())) == {1: 8, 2: 7}
+
+
+def test_overlapping_spans(spark, monkeypatch):
+    monkeypatch.setattr(joins, "PAIRS", 8, raising=False)  # so that stretches go in several pieces
+    rng = random.Random(6)
+    rows = lambda n: [(rng.choice("fg"), a := rng.randint(-50, 50), a + rng.choice((-2, 0, 1, 7, 30)), i) for i in range(n)] + [("f", None, 4, 900), ("f", 3, None, 901), (None, 1, 2, 902)]
+    left, right = rows(90), rows(120)
+    make = lambda rows, name: spark.createDataFrame(rows, f"file string, start_line bigint, end_line bigint, {name} bigint")
+    want = sorted((x[3], y[3]) for x in left for y in right if None not in x and None not in y and x[0] == y[0] and x[1] <= y[2] and y[1] <= x[2])
+    assert sorted(map(tuple, joins.overlapping(make(left, "x"), make(right, "y"), "file", "x", "y").collect())) == want
+    wide = [("f", -(1 << 61), 1 << 61, 7)]
+    assert sorted(map(tuple, joins.overlapping(make(wide, "x"), make([("f", 5, 9, 1), *wide], "y"), "file", "x", "y").collect())) == [(7, 1), (7, 7)]
