@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom import schema
 from codeloom.extract import braces, data, python, web
 from codeloom.extract.base import Lines, Parsed, Unit
+from codeloom.partitions import spread
 
 Parser = Callable[[str, str], Parsed]
 PARSERS: dict[str, Parser] = {"python": python.parse, "html": web.parse_html, "css": web.parse_css, "json": data.parse_json, "yaml": data.parse_yaml} | {k: braces.parse(k) for k in braces.LANGUAGES}
@@ -68,63 +69,84 @@ ENTITY_DDL = (
 )
 
 
+#: A batch of results ends with so many rows or characters: a deep page has its text in the code of each element again.
+BATCH_ROWS, BATCH_CHARS = 5_000, 4_000_000
+ARROW = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}
+
+
+def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, str]]:
+    """Path and text of one file after another."""
+    for batch in batches:
+        for path, text in zip(batch.column(0), batch.column(1)):
+            yield path.as_py(), text.as_py() or ""
+
+
+def batches_of(rows: Iterable[tuple], ddl: str) -> Iterator[pa.RecordBatch]:
+    names, kinds = zip(*(x.split() for x in ddl.split(", ")))
+    held, size = [], 0
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, ARROW[k]) for c, k in zip(zip(*held), kinds)], names=names)
+
+    for row in rows:
+        held.append(row)
+        size += sum(len(x) for x in row if isinstance(x, str))
+        if len(held) >= BATCH_ROWS or size >= BATCH_CHARS:
+            yield batch()
+            held, size = [], 0
+    if held:
+        yield batch()
+
+
+def over_files(files: DataFrame, ddl: str, rows_of: Callable[[str, str], Iterable[tuple]]) -> DataFrame:
+    """The rows of every file (file_path, content), in batches of bounded size.
+
+    The files are dealt over all cores, as many small ones can lie in one part of one input file.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from batches_of((row for path, text in texts(batches) for row in rows_of(path, text)), ddl)
+
+    return spread(files.select("file_path", F.col("content").cast("string").alias("content")), "file_path", "content").mapInArrow(run, ddl)
+
+
 def entities(files: DataFrame, language: str | None = None) -> DataFrame:
     """One row per entity of the files (file_path, content)."""
-    names = [x.split()[0] for x in ENTITY_DDL.split(", ")]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for path, text in zip(batch["file_path"], batch["content"]):
-                text = text or ""
-                lines, digest = Lines(text), hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
-                lang = language or language_for(path) or "unknown"
-                for u in parse(text, path, language).units:
-                    (l0, c0), (l1, c1) = lines.place(u.start), lines.place(max(u.start, u.end))
-                    code = text[u.start : u.end]
-                    rows.append((
-                        uuid_of(u, l0, c0, digest, path), u.name, u.qualified or u.name, u.kind, u.signature, u.docstring, code, hashlib.sha256(code.encode("utf-8", "surrogatepass")).hexdigest()[:16],
-                        path, l0, l1, c0, c1, lines.byte(u.start), lines.byte(u.end), u.visibility, u.is_async, u.name.lower().startswith("test") or "/tests/" in path, "deprecated" in u.docstring.lower(), lang, f"{path}:{l0}:{c0}",
-                    ))
-            yield pd.DataFrame(rows, columns=names)
-
-    return files.select("file_path", "content").mapInPandas(run, ENTITY_DDL)
 
+    def rows(path: str, text: str) -> Iterator[tuple]:
+        lines, digest = Lines(text), hashlib.sha256(text.encode("utf-8", "surrogatepass")).hexdigest()
+        lang = language or language_for(path) or "unknown"
+        for u in parse(text, path, language).units:
+            (l0, c0), (l1, c1) = lines.place(u.start), lines.place(max(u.start, u.end))
+            code = text[u.start : u.end]
+            yield (
+                uuid_of(u, l0, c0, digest, path), u.name, u.qualified or u.name, u.kind, u.signature, u.docstring, code, hashlib.sha256(code.encode("utf-8", "surrogatepass")).hexdigest()[:16],
+                path, l0, l1, c0, c1, lines.byte(u.start), lines.byte(u.end), u.visibility, u.is_async, u.name.lower().startswith("test") or "/tests/" in path, "deprecated" in u.docstring.lower(), lang, f"{path}:{l0}:{c0}",
+            )
 
-RELATION_DDL = "id string, relation_type string, source string, target string, file_path string, line int, strength double"
+    return over_files(files, ENTITY_DDL, rows)
 
 
-def relations(files: DataFrame, language: str | None = None) -> DataFrame:
-    names = [x.split()[0] for x in RELATION_DDL.split(", ")]
+RELATION_DDL = "id string, relation_type string, source string, target string, file_path string, line int, strength double"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [(f"{e.kind}::{e.source}::{e.target}", e.kind, e.source, e.target, path, e.line, 1.0) for path, text in zip(batch["file_path"], batch["content"]) for e in parse(text or "", path, language).edges]
-            yield pd.DataFrame(rows, columns=names)
 
-    return files.select("file_path", "content").mapInPandas(run, RELATION_DDL)
+def relations(files: DataFrame, language: str | None = None) -> DataFrame:
+    return over_files(files, RELATION_DDL, lambda path, text: ((f"{e.kind}::{e.source}::{e.target}", e.kind, e.source, e.target, path, e.line, 1.0) for e in parse(text, path, language).edges))
 
 
 def errors(files: DataFrame, language: str | None = None) -> DataFrame:
     """file_path, line, message of what did not parse, at most fifty per file."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [(path, int(e.partition(":")[0] or 0), e.partition(":")[2].strip()) for path, text in zip(batch["file_path"], batch["content"]) for e in parse(text or "", path, language).errors[:50]]
-            yield pd.DataFrame(rows, columns=["file_path", "line", "message"])
-
-    return files.select("file_path", "content").mapInPandas(run, "file_path string, line int, message string")
+    return over_files(files, "file_path string, line int, message string", lambda path, text: ((path, int(e.partition(":")[0] or 0), e.partition(":")[2].strip()) for e in parse(text, path, language).errors[:50]))
 
 
 def parse_stats(files: DataFrame, language: str | None = None) -> DataFrame:
     """files, parsed, failed, entities, relations, success_rate over all files, summed within tasks first."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            got = [parse(t or "", p, language) for p, t in zip(batch["file_path"], batch["content"])]
-            yield pd.DataFrame({"files": [len(got)], "failed": [sum(bool(g.errors) for g in got)], "entities": [sum(len(g.units) for g in got)], "relations": [sum(len(g.edges) for g in got)]})
+    def sums(path: str, text: str) -> Iterator[tuple]:
+        got = parse(text, path, language)
+        yield 1, int(bool(got.errors)), len(got.units), len(got.edges)
 
-    rows = files.select("file_path", "content").mapInPandas(run, "files bigint, failed bigint, entities bigint, relations bigint")
+    rows = over_files(files, "files bigint, failed bigint, entities bigint, relations bigint", sums)
     out = rows.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("files", "failed", "entities", "relations")))
     return out.withColumn("parsed", F.col("files") - F.col("failed")).withColumn("success_rate", F.when(F.col("files") > 0, F.col("parsed") / F.col("files")).otherwise(0.0))
 

@@ -2,6 +2,9 @@
 
 import random
 
+import pytest
+
+from codeloom.extract import registry
 from codeloom.operators import joins
 
 
@@ -30,3 +33,21 @@ def test_overlapping_spans(spark, monkeypatch):
     assert sorted(map(tuple, joins.overlapping(make(left, "x"), make(right, "y"), "file", "x", "y").collect())) == want
     wide = [("f", -(1 << 61), 1 << 61, 7)]
     assert sorted(map(tuple, joins.overlapping(make(wide, "x"), make([("f", 5, 9, 1), *wide], "y"), "file", "x", "y").collect())) == [(7, 1), (7, 7)]
+
+
+@pytest.mark.parametrize("language", sorted(registry.PARSERS))
+def test_files_of_one_task_are_dealt_out(spark, language):
+    files = spark.range(200).coalesce(1).selectExpr("concat(id, '.x') as file_path", "to_json(map(concat('k', id), 1)) as content")
+    for made in (registry.entities, registry.relations, registry.errors, registry.parse_stats):
+        plan = made(files, language)._jdf.queryExecution().executedPlan().toString()
+        assert "REPARTITION_BY_NUM" in plan
+    assert sorted(r[0] for r in registry.entities(files, "json").where("entity_type = 'constant'").select("entity_name").collect()) == sorted(f"k{i}" for i in range(200))
+
+
+def test_deep_page_comes_in_bounded_batches(spark):
+    text = "<div>" * 2500 + "x" + "</div>" * 2500  # 69 MB of source code
+    rows = registry.entities(spark.createDataFrame([("p.html", text), ("q.html", None)], "file_path string, content string"))
+    got = rows.selectExpr("count(*)", "sum(length(source_code))").collect()[0]
+    assert tuple(got) == (2500, sum(len(text) - 11 * i for i in range(2500)))
+    sizes = [(b.num_rows, b.nbytes) for b in registry.batches_of(((c, "x" * 100_000) for c in "ab" * 500), "a string, b string")]
+    assert sum(n for n, _ in sizes) == 1000 and max(b for _, b in sizes) < 5_000_000
