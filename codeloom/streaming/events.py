@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from codeloom.partitions import spread
 from codeloom.schema import EVENT_PRIORITY
 
 EXPIRY_MINUTES, BATCH_SIZE, CAPACITY, CONFIRM_SECONDS, TOMBSTONE_SECONDS, MAX_RETRIES = 60, 10, 1000, 5, 600, 3
@@ -135,16 +136,21 @@ def failure_runs(runs: DataFrame, *by: str) -> DataFrame:
     return marked.withColumn("failures", F.when(F.col("ok"), F.lit(0)).otherwise(fails)).drop("island")
 
 
+SHARES = 256
+
+
 def project_of(events: DataFrame, projects: DataFrame) -> DataFrame:
     """event_id, project: the project with the longest folder that holds the path.
 
-    A path is joined by equality on each of its leading folders, so neither side needs to be small.
+    A path is joined by equality on each of its leading folders, so neither side needs to be small; a folder that holds most paths is dealt out in SHARES.
     """
     parts = F.split("file_path", "/")
     folders = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
     roots = projects.select("project", F.regexp_replace("root", "/+$", "").alias("folder"))
-    inside = events.select("event_id", F.explode(folders).alias("folder")).join(roots, "folder")
-    return inside.groupBy("event_id").agg(F.max_by("project", F.struct(F.length("folder"), F.col("project"))).alias("project"))
+    roots = roots.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1)).cast("array<bigint>")))
+    inside = events.select("event_id", F.pmod(F.xxhash64("event_id"), F.lit(SHARES)).cast("bigint").alias("share"), F.explode(folders).alias("folder"))
+    inside = spread(inside, "folder", "share").join(spread(roots, "folder", "share"), ["folder", "share"])
+    return spread(inside, "event_id").groupBy("event_id").agg(F.max_by("project", F.struct(F.length("folder"), F.col("project"))).alias("project"))
 
 
 def apply_changes(collection, changes: DataFrame, parse: Callable[[DataFrame], DataFrame]) -> int:

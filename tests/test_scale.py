@@ -3,9 +3,11 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from codeloom.extract import registry
 from codeloom.operators import joins
+from codeloom.streaming import events
 
 
 
@@ -51,3 +53,20 @@ def test_deep_page_comes_in_bounded_batches(spark):
     assert tuple(got) == (2500, sum(len(text) - 11 * i for i in range(2500)))
     sizes = [(b.num_rows, b.nbytes) for b in registry.batches_of(((c, "x" * 100_000) for c in "ab" * 500), "a string, b string")]
     assert sum(n for n, _ in sizes) == 1000 and max(b for _, b in sizes) < 5_000_000
+
+
+def test_pairs_of_one_file_are_dealt_out(spark):
+    rows = spark.range(3000).selectExpr("concat('f', id % 1) as file", "id % 400 as start_line", "id % 400 + id % 50 as end_line", "id as x")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = joins.overlapping(rows, rows.withColumnRenamed("x", "y"), "file", "x", "y").groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert max(r["count"] for r in got) < 0.5 * sum(r["count"] for r in got)
+
+
+def test_projects_of_events_in_one_task(spark):
+    paths = spark.range(300).coalesce(1).selectExpr("id as event_id", "concat('/w/', if(id % 2 = 0, 'e/', 'o/'), id) as file_path")
+    got = events.project_of(paths, spark.createDataFrame([("all", "/w"), ("even", "/w/e/")], "project string, root string"))
+    assert "REPARTITION_BY_NUM" in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, got.collect())) == [(i, "all" if i % 2 else "even") for i in range(300)]
